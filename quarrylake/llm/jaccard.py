@@ -1,15 +1,16 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-The product runs in three passes over the texts, none of which emits a pair within a group:
+No pair within a group is ever emitted as a row.
 
 1. Every document's distinct shingles; their fingerprint puts equal sets into one class, of which one
-   row stands for all; a fixed-size table counts shingles by hash bucket.
-2. A size bound: sets with Jaccard >= t share one of the n - ceil(t*n) + 1 first shingles of each, in
-   any common order (here: rarest bucket first, so that widely shared passages come last). Incidences
-   of these prefixes are cut into blocks by shingle; in a block, representatives that share a shingle
-   are chained, in order of their sizes, wherever neighbouring sizes allow the bound. A shingle that
-   many rows hold is reduced to one row per task before the shuffle. The chains' connected components
-   hold every pair that can be linked.
+   row stands for all. Incidences are cut into blocks by shingle, 6 bytes each, and a shingle that
+   several documents of a task hold is sent once. Blocks answer which incidences are shared at all.
+2. A size bound: a set with a partner at Jaccard >= t shares at least ceil(t*n) of its n shingles, which
+   drops most documents at once. Of the s shared shingles of a document left, the first
+   s - ceil(t*n) + 1 in hash order hold one in common with each partner. Documents that share one of
+   these are chained, in order of their sizes, wherever neighbouring sizes allow the bound; a shingle
+   that many rows hold is reduced to one row per task before the shuffle. The chains' connected
+   components hold every pair that can be linked.
 3. Components are cut into tiles of bounded size, ordered by set size; pairs of tiles whose sizes
    exclude the bound are skipped. For the rest the exact overlap matrix is accumulated from blocks of
    shingles, and only row sums and a spanning forest of the links leave the task.
@@ -27,14 +28,17 @@ from pyspark.sql import functions as F
 from quarrylake.llm.cluster import bitmap, components, discard, in_bitmap, materialise
 from quarrylake.llm.textcore import chunks, mix, shingle_sets, signed
 
-#: Buckets of the shingle frequency table (4 bytes each): its size doesn't depend on the data.
-LOG2_BUCKETS = 20
-#: Prefix incidences in a block, about; documents in a tile, at most; bits of the candidate bitmap.
-BLOCK_ROWS = 400_000
+#: Incidences in a block, about; incidences and documents that a task gathers before it sends them.
+BLOCK_ROWS = 2_000_000
+FLUSH_ROWS = 1_200_000
+FLUSH_DOCS = 60_000
+#: Documents in a tile, at most, about; bits of the candidate bitmap (2 MB).
 TILE_ROWS = 256
 LOG2_BITS = 24
-#: Incidences that a task gathers before it sends them.
-FLUSH_ROWS = 600_000
+#: Marks the incidence of a shingle that several documents of its task hold.
+MANY = 0xFFFF
+
+_PARTS = "kind string, key long, flush long, payload binary"
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -66,105 +70,156 @@ def chain(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray
     return edges, (h[first], lo[first], np.maximum.reduceat(hi, first), x[first])
 
 
-def _describe(width: int, log2_buckets: int):
-    """Pass 1: a row per document, and each task's counts of shingles by bucket."""
-
-    def scan(batches):
-        counts = np.zeros(1 << log2_buckets, np.int64)
-        for batch in batches:
-            sizes, prints = [], []
-            for _, _, data, offsets in chunks(batch.column(1)):
-                sets = shingle_sets(data, offsets, width)
-                sizes += [len(s) for s in sets]
-                prints += [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
-                if sizes:
-                    together = np.concatenate(sets)
-                    counts += np.bincount((together >> np.uint64(64 - log2_buckets)).astype(np.int64), minlength=len(counts))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signed(np.array(prints, np.uint64)), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "n", "print", "block", "counts"],
-            )
-        parts = np.minimum(counts, 2**32 - 1).astype(np.uint32).reshape(16, -1)
-        some = [k for k in range(16) if parts[k].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([pa.compress(parts[k].tobytes(), "zstd", asbytes=True) for k in some], pa.binary())],
-            names=["doc_id", "n", "print", "block", "counts"],
-        )
-
-    return scan
-
+def _part(kind: str, keys, flush: int, payloads) -> pa.RecordBatch:
+    n = len(keys)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind] * n, pa.string()), pa.array(keys, pa.int64()), pa.array([flush] * n, pa.int64()), pa.array(payloads, pa.binary())],
+        names=["kind", "key", "flush", "payload"],
+    )
 
-def _bucket_counts(parts: DataFrame, log2_buckets: int) -> np.ndarray:
-    """Sum the tasks' tables; what the driver gets is 4 bytes a bucket."""
-    width = (1 << log2_buckets) // 16
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.uint64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(pa.decompress(x, width * 4, "zstd"), np.uint32)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+def _as_long(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
-    out = np.zeros((16, width), np.uint32)
-    for r in parts.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
-        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
-    return out.reshape(-1)
 
+def _incidences(width: int, blocks: int):
+    """Step 1, by task: documents, incidences by block, and incidences already known to be shared.
 
-def _prefixes(width: int, percent: int, counts, log2_buckets: int, blocks: int):
-    """Pass 2: chain prefix incidences of equal shingles in the task, send one row per chain onwards."""
+    A flush is named by what it holds, so a task that runs again sends the same rows.
+    """
 
     def scan(batches):
-        table = counts.value
         sent: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        sets: list[np.ndarray] = []
+        prints: list[int] = []
         size = 0
 
         def flush():
-            ids = np.repeat(np.array([x[2] for x in held], np.int64), [len(x[0]) for x in held])
-            n = np.repeat(np.array([x[1] for x in held], np.int64), [len(x[0]) for x in held])
-            edges, (h, lo, hi, x) = chain(np.concatenate([x[0] for x in held]), n, n, ids, percent)
-            block = ((h >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            at = np.searchsorted(block[order], np.arange(blocks + 1))
-            names, payloads = [], []
-            for k in range(blocks):
-                o = order[at[k] : at[k + 1]]
-                if len(o):
-                    names.append(k)
-                    payloads.append(signed(h[o]).tobytes() + lo[o].astype(np.int32).tobytes() + hi[o].astype(np.int32).tobytes() + x[o].tobytes())
-            m, e = len(names), len(edges)
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([pa.array(names, pa.int32()), pa.nulls(e, pa.int32())]), pa.concat_arrays([pa.array(payloads, pa.binary()), pa.nulls(e, pa.binary())]), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(edges[:, 0], pa.int64())]), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(edges[:, 1], pa.int64())])],
-                names=["block", "payload", "a", "b"],
-            )
+            flush_id = _as_long(xxhash.xxh3_64_intdigest(np.array(prints, np.uint64).tobytes()))
+            n = np.array([len(x) for x in sets], np.int64)
+            h = np.concatenate(sets)
+            which = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
+            order = np.argsort(h, kind="stable")
+            h, which = h[order], which[order]
+            new = np.r_[True, h[1:] != h[:-1]]
+            multiple = ~(new & np.r_[new[1:], True])
+            # Blocks split the range of hashes, so rows are in order of block already.
+            first = np.flatnonzero(new)
+            who = np.where(multiple[first], np.uint16(MANY), which[first])
+            block = ((h[first] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+            low = (h[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            at = np.searchsorted(block, np.arange(blocks + 1))
+            some = np.flatnonzero(at[1:] > at[:-1])
+            yield _part("block", some, flush_id, [low[at[k] : at[k + 1]].tobytes() + who[at[k] : at[k + 1]].tobytes() for k in some])
+            m = np.flatnonzero(multiple)
+            key = ((h[m] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)) << np.uint64(32) | (h[m] & np.uint64(0xFFFFFFFF))
+            home = flush_id % blocks
+            yield _part("shared", [home], flush_id, [key.tobytes() + which[m].tobytes()])
+            yield _part("sizes", [home], flush_id, [np.array(prints, np.uint64).tobytes() + n.tobytes()])
 
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
+            count, named = [], []
+            for _, _, data, offsets in chunks(batch.column(1)):
                 for s in shingle_sets(data, offsets, width):
-                    n = len(s)
-                    key = xxhash.xxh3_64_intdigest(s.tobytes())
-                    if not n or key in sent:
-                        continue
-                    sent.add(key)
-                    rank = table[(s >> np.uint64(64 - log2_buckets)).astype(np.int64)].astype(np.int64)
-                    p = n - int(-(-n * percent // 100)) + 1
-                    if p < n:
-                        # ties by hash: s is sorted and the sort is stable
-                        s = s[np.argsort(rank, kind="stable")[:p]]
-                    held.append((s, n, int(np.uint64(key).astype(np.int64))))
-                    size += len(s)
-            if size >= FLUSH_ROWS:
-                yield from flush()
-                held, size = [], 0
-        if held:
+                    name = xxhash.xxh3_64_intdigest(s.tobytes())
+                    count.append(len(s))
+                    named.append(name)
+                    if len(s) and name not in sent:
+                        sent.add(name)
+                        sets.append(s)
+                        prints.append(name)
+                        size += len(s)
+                        if size >= FLUSH_ROWS or len(sets) >= FLUSH_DOCS:
+                            yield from flush()
+                            sets, prints, size = [], [], 0
+            ids = batch.column(0)
+            here = np.array(named, np.uint64)
+            rows = ids.fill_null(0).to_numpy().tobytes() + np.array(count, np.int64).tobytes() + here.tobytes() + ids.is_valid().to_numpy(zero_copy_only=False).tobytes()
+            if len(ids):
+                yield _part("rows", [int(here[0] % np.uint64(blocks))], 0, [rows])
+        if sets:
             yield from flush()
 
     return scan
 
 
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Which incidences of a block are shared between flushes, for each flush; the rest passes through."""
+    other = pdf[pdf["kind"] != "block"]
+    own = pdf[pdf["kind"] == "block"]
+    if not len(own):
+        return other
+    low, who = [], []
+    for p in own["payload"]:
+        k = len(p) // 6
+        low.append(np.frombuffer(p, np.uint32, k))
+        who.append(np.frombuffer(p, np.uint16, k, 4 * k))
+    part = np.repeat(np.arange(len(low), dtype=np.int32), [len(x) for x in low])
+    h, who = np.concatenate(low), np.concatenate(who)
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    same = np.r_[False, s[1:] == s[:-1]]
+    order = order[(same | np.r_[same[1:], False]) & (who[order] != MANY)]
+    order = order[np.argsort(part[order], kind="stable")]
+    at = np.searchsorted(part[order], np.arange(len(own) + 1))
+    base = np.uint64(own["key"].iloc[0]) << np.uint64(32)
+    out = []
+    for k, flush in enumerate(own["flush"]):
+        o = order[at[k] : at[k + 1]]
+        if len(o):
+            out.append(("shared", own["key"].iloc[0], flush, (h[o].astype(np.uint64) | base).tobytes() + who[o].tobytes()))
+    return pd.concat([other, pd.DataFrame(out, columns=pdf.columns)], ignore_index=True)
+
+
+def _row_table(batches):
+    """The documents' rows: doc_id, n, print."""
+    for b in batches:
+        for p in b.column(0):
+            p = p.as_py()
+            k = len(p) // 25
+            ids, n, prints = (np.frombuffer(p, np.int64, k, 8 * k * i) for i in range(3))
+            valid = np.frombuffer(p, np.bool_, k, 24 * k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), pa.array(n), pa.array(prints)], names=["doc_id", "n", "print"])
+
+
+def _prefixes(percent: int, blocks: int):
+    """Step 2, by flush: the documents with enough shared shingles, chained by the first of these."""
+
+    def select(pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"block": [], "payload": [], "a": [], "b": []})
+        sizes = pdf.loc[pdf["kind"] == "sizes", "payload"]
+        shared = pdf.loc[pdf["kind"] == "shared", "payload"]
+        if not len(sizes) or not len(shared):
+            return none
+        k = len(sizes.iloc[0]) // 16
+        prints, n = np.frombuffer(sizes.iloc[0], np.int64, k), np.frombuffer(sizes.iloc[0], np.int64, k, 8 * k)
+        key = np.concatenate([np.frombuffer(p, np.uint64, len(p) // 10) for p in shared])
+        who = np.concatenate([np.frombuffer(p, np.uint16, len(p) // 10, len(p) // 10 * 8) for p in shared]).astype(np.int64)
+        room = np.bincount(who, minlength=k) - needed(n, percent) + 1
+        keep = room[who] > 0
+        key, who = key[keep], who[keep]
+        order = np.lexsort((key, who))
+        key, who = key[order], who[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        first = rank < room[who]
+        key, who = key[first], who[first]
+        edges, (h, lo, hi, x) = chain(key, n[who], n[who], prints[who], percent)
+        block = (mix(h) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        at = np.searchsorted(block[order], np.arange(blocks + 1))
+        rows = []
+        for b in range(blocks):
+            o = order[at[b] : at[b + 1]]
+            if len(o):
+                rows.append((b, signed(h[o]).tobytes() + lo[o].astype(np.int32).tobytes() + hi[o].astype(np.int32).tobytes() + x[o].tobytes(), 0, 0))
+        ends = pd.DataFrame({"block": -1, "payload": None, "a": edges[:, 0], "b": edges[:, 1]})
+        return pd.concat([pd.DataFrame(rows, columns=["block", "payload", "a", "b"]), ends]) if len(rows) or len(ends) else none
+
+    return select
+
+
 def _chain_block(percent: int):
-    """Chains across tasks: the rows of one block of shingles."""
+    """Chains across flushes: the rows of one block of shingles."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         h, lo, hi, x = [], [], [], []
@@ -271,21 +326,22 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    first = materialise(source.mapInArrow(_describe(width, LOG2_BUCKETS), "doc_id long, n long, print long, block int, counts binary"), "shingles")
-    rows = first.where("block is null").select("doc_id", "n", "print")
-    counts = spark.sparkContext.broadcast(_bucket_counts(first.where("block is not null").select("block", "counts"), LOG2_BUCKETS))
+    # About a sixth of the bytes are shingles; more or fewer blocks only change their size.
+    text_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = int(max(1, text_bytes // 6 // BLOCK_ROWS))
+    first = materialise(source.mapInArrow(_incidences(width, blocks), _PARTS).groupBy("key").applyInPandas(_answer, _PARTS), "incidences")
+    rows = materialise(first.where("kind = 'rows'").select("payload").mapInArrow(_row_table, "doc_id long, n long, print long"), "rows")
     classes = materialise(
         rows.where("n > 0 and doc_id is not null").groupBy("print", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes"
     )
 
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = int(max(1, total * (100 - percent) // 100 // BLOCK_ROWS))
+    few = max(1, blocks // 8)
     second = materialise(
-        source.select("text").mapInArrow(_prefixes(width, percent, counts, LOG2_BUCKETS, blocks), "block int, payload binary, a long, b long"), "prefixes"
+        first.where("kind in ('shared', 'sizes')").groupBy("flush").applyInPandas(_prefixes(percent, few), "block int, payload binary, a long, b long"), "prefixes"
     )
-    across = second.where("block is not null").select("block", "payload").groupBy("block").applyInPandas(_chain_block(percent), "a long, b long")
+    across = second.where("block >= 0").select("block", "payload").groupBy("block").applyInPandas(_chain_block(percent), "a long, b long")
+    chains = second.where("block < 0").select("a", "b").unionByName(across).distinct()
     by_print = classes.select("print", "rep")
-    chains = second.where("a is not null").select("a", "b").unionByName(across).distinct()
     chains = (
         chains.join(by_print.select(F.col("print").alias("a"), F.col("rep").alias("x")), "a")
         .join(by_print.select(F.col("print").alias("b"), F.col("rep").alias("y")), "b")
@@ -332,7 +388,7 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
         F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"),
         F.coalesce("lowest", "doc_id").alias("component_id"),
     )
-    discard(second)
+    discard(first, second)
     return out
 
 
