@@ -6,11 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylake.llm.licenses import oracle as license_sql
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylake.llm.licenses import license_scan, license_table
+
+    return license_scan(_table(spark, sf_dir, "documents"), license_table(spark))
+
+
+def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylake.llm.sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylake.llm.urlfilter import url_filter
+
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return url_filter(_table(spark, sf_dir, "pages"), rules)
+
+
+OP7_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), urls AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), rules(verdict, host, path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fits AS (
+  SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, r.verdict, length(r.host || r.path) AS n
+  FROM urls u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+)
+SELECT page_id, host, path, arg_max(rule, n) AS rule, coalesce(arg_max(verdict, n), 'allow') AS verdict FROM fits GROUP BY page_id, host, path
+"""
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quarrylake.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylake.llm.jaccard import ngram_jaccard
 
@@ -23,7 +71,7 @@ WITH RECURSIVE words AS (
   FROM documents
 ), grams AS (
   SELECT DISTINCT doc_id, g FROM (
-    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
     FROM words)
 ), sizes AS (
@@ -43,8 +91,14 @@ FROM sizes s
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op5_balanced_shards": op5_balanced_shards,
+    "op7_url_filter": op7_url_filter,
+    "op9_packing": op9_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 SQL: dict[str, str] = {
+    "op1_license_scan": license_sql(),
+    "op7_url_filter": OP7_SQL,
     "op10_ngram_jaccard": OP10_SQL,
 }
