@@ -86,7 +86,7 @@ def _move(nodes: DataFrame, wish: DataFrame, grants) -> DataFrame:
     return nodes.join(going, "node", "left").select("node", "size", F.coalesce("dst", "shard").alias("shard"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, *, shards: int = 8, rounds: int = 4, slack: float = 0.02, level_rounds: int = 3) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, *, shards: int = 8, rounds: int = 6, slack: float = 0.02, level_rounds: int = 3) -> DataFrame:
     """(node, size, shard) for ``nodes`` (node long, distinct; size long) and undirected ``edges`` (a, b).
 
     Sizes stay within ``slack`` of the mean while labels propagate, as far as single nodes allow, and
