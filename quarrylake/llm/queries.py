@@ -19,6 +19,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"), license_table(spark))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylake.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylake.llm.sharding import shard_documents
 
@@ -28,6 +34,25 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylake.llm.topk import topk_search
+
+    return topk_search(_table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = r"""
+WITH vecs AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM vecs q JOIN vecs c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+"""
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylake.llm.urlfilter import url_filter
 
@@ -92,13 +117,16 @@ FROM sizes s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op3_decontamination": op3_decontamination,
     "op5_balanced_shards": op5_balanced_shards,
+    "op6_topk_search": op6_topk_search,
     "op7_url_filter": op7_url_filter,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 SQL: dict[str, str] = {
     "op1_license_scan": license_sql(),
+    "op6_topk_search": OP6_SQL,
     "op7_url_filter": OP7_SQL,
     "op10_ngram_jaccard": OP10_SQL,
 }
