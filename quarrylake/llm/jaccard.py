@@ -4,10 +4,10 @@ No pair within a group is ever emitted as a row.
 
 1. Every document's distinct shingles; their fingerprint puts equal sets into one class, of which one
    row stands for all. Incidences are cut into blocks by shingle, 6 bytes each, and a shingle that
-   several documents of a task hold is sent once. Blocks answer which incidences are shared at all.
+   several documents of a task hold is sent once. Blocks answer how many documents share each.
 2. A size bound: a set with a partner at Jaccard >= t shares at least ceil(t*n) of its n shingles, which
    drops most documents at once. Of the s shared shingles of a document left, the first
-   s - ceil(t*n) + 1 in hash order hold one in common with each partner. Documents that share one of
+   s - ceil(t*n) + 1, rarest first, hold one in common with each partner. Documents that share one of
    these are chained, in order of their sizes, wherever neighbouring sizes allow the bound; a shingle
    that many rows hold is reduced to one row per task before the shuffle. The chains' connected
    components hold every pair that can be linked.
@@ -32,8 +32,8 @@ from quarrylake.llm.textcore import chunks, mix, shingle_sets, signed
 BLOCK_ROWS = 2_000_000
 FLUSH_ROWS = 1_200_000
 FLUSH_DOCS = 60_000
-#: Documents in a tile, at most, about; bits of the candidate bitmap (2 MB).
-TILE_ROWS = 256
+#: Shingles in a tile, about (one document may have more); bits of the candidate bitmap (2 MB).
+TILE_SHINGLES = 400_000
 LOG2_BITS = 24
 #: Marks the incidence of a shingle that several documents of its task hold.
 MANY = 0xFFFF
@@ -110,11 +110,18 @@ def _incidences(width: int, blocks: int):
             low = (h[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             at = np.searchsorted(block, np.arange(blocks + 1))
             some = np.flatnonzero(at[1:] > at[:-1])
-            yield _part("block", some, flush_id, [low[at[k] : at[k + 1]].tobytes() + who[at[k] : at[k + 1]].tobytes() for k in some])
+            times = np.diff(np.r_[first, len(h)]).astype(np.uint16)
+            many_at = np.searchsorted(np.flatnonzero(who == MANY), at)
+            times = times[who == MANY]
+            payloads = [
+                np.uint32(at[k + 1] - at[k]).tobytes() + low[at[k] : at[k + 1]].tobytes() + who[at[k] : at[k + 1]].tobytes() + times[many_at[k] : many_at[k + 1]].tobytes()
+                for k in some
+            ]
+            yield _part("block", some, flush_id, payloads)
             m = np.flatnonzero(multiple)
             key = ((h[m] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)) << np.uint64(32) | (h[m] & np.uint64(0xFFFFFFFF))
             home = flush_id % blocks
-            yield _part("shared", [home], flush_id, [key.tobytes() + which[m].tobytes()])
+            yield _part("local", [home], flush_id, [key.tobytes() + which[m].tobytes()])
             yield _part("sizes", [home], flush_id, [np.array(prints, np.uint64).tobytes() + n.tobytes()])
 
         for batch in batches:
@@ -144,30 +151,35 @@ def _incidences(width: int, blocks: int):
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which incidences of a block are shared between flushes, for each flush; the rest passes through."""
+    """How many documents share each incidence of a block, if several do, for each flush; the rest passes through."""
     other = pdf[pdf["kind"] != "block"]
     own = pdf[pdf["kind"] == "block"]
     if not len(own):
         return other
-    low, who = [], []
+    low, who, times = [], [], []
     for p in own["payload"]:
-        k = len(p) // 6
-        low.append(np.frombuffer(p, np.uint32, k))
-        who.append(np.frombuffer(p, np.uint16, k, 4 * k))
+        k = int(np.frombuffer(p, np.uint32, 1)[0])
+        low.append(np.frombuffer(p, np.uint32, k, 4))
+        who.append(np.frombuffer(p, np.uint16, k, 4 + 4 * k))
+        count = np.ones(k, np.int64)
+        count[who[-1] == MANY] = np.frombuffer(p, np.uint16, offset=4 + 6 * k)
+        times.append(count)
     part = np.repeat(np.arange(len(low), dtype=np.int32), [len(x) for x in low])
-    h, who = np.concatenate(low), np.concatenate(who)
+    h, who, times = np.concatenate(low), np.concatenate(who), np.concatenate(times)
     order = np.argsort(h, kind="stable")
     s = h[order]
-    same = np.r_[False, s[1:] == s[:-1]]
-    order = order[(same | np.r_[same[1:], False]) & (who[order] != MANY)]
-    order = order[np.argsort(part[order], kind="stable")]
-    at = np.searchsorted(part[order], np.arange(len(own) + 1))
-    base = np.uint64(own["key"].iloc[0]) << np.uint64(32)
-    out = []
-    for k, flush in enumerate(own["flush"]):
-        o = order[at[k] : at[k + 1]]
-        if len(o):
-            out.append(("shared", own["key"].iloc[0], flush, (h[o].astype(np.uint64) | base).tobytes() + who[o].tobytes()))
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    total = np.add.reduceat(times[order], first)
+    held = np.empty(len(h), np.int64)
+    held[order] = np.repeat(total, np.diff(np.r_[first, len(h)]))
+    at = np.flatnonzero(held > 1)
+    h, who, held, part = h[at], who[at], np.minimum(held[at], 65535).astype(np.uint16), part[at]
+    at = np.searchsorted(part, np.arange(len(own) + 1))
+    out = [
+        ("shared", own["key"].iloc[0], flush, b"".join(x[at[k] : at[k + 1]].tobytes() for x in (h, who, held)))
+        for k, flush in enumerate(own["flush"])
+        if at[k + 1] > at[k]
+    ]
     return pd.concat([other, pd.DataFrame(out, columns=pdf.columns)], ignore_index=True)
 
 
@@ -188,17 +200,27 @@ def _prefixes(percent: int, blocks: int):
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"block": [], "payload": [], "a": [], "b": []})
         sizes = pdf.loc[pdf["kind"] == "sizes", "payload"]
-        shared = pdf.loc[pdf["kind"] == "shared", "payload"]
+        shared = pdf.loc[pdf["kind"] == "shared", ["key", "payload"]]
+        local = pdf.loc[pdf["kind"] == "local", "payload"]
         if not len(sizes) or not len(shared):
             return none
         k = len(sizes.iloc[0]) // 16
         prints, n = np.frombuffer(sizes.iloc[0], np.int64, k), np.frombuffer(sizes.iloc[0], np.int64, k, 8 * k)
-        key = np.concatenate([np.frombuffer(p, np.uint64, len(p) // 10) for p in shared])
-        who = np.concatenate([np.frombuffer(p, np.uint16, len(p) // 10, len(p) // 10 * 8) for p in shared]).astype(np.int64)
+        key = np.concatenate([np.frombuffer(p, np.uint32, len(p) // 8).astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, p in zip(shared["key"], shared["payload"])])
+        who = np.concatenate([np.frombuffer(p, np.uint16, len(p) // 8, len(p) // 8 * 4) for p in shared["payload"]]).astype(np.int64)
+        held = np.concatenate([np.frombuffer(p, np.uint16, len(p) // 8, len(p) // 8 * 6) for p in shared["payload"]])
+        # The answers for shingles of several documents of this flush are given to each of them.
+        many = who == MANY
+        order = np.argsort(key[many])
+        known, known_held = key[many][order], held[many][order]
+        own_key = np.concatenate([np.frombuffer(p, np.uint64, len(p) // 10) for p in local])
+        own_who = np.concatenate([np.frombuffer(p, np.uint16, len(p) // 10, len(p) // 10 * 8) for p in local]).astype(np.int64)
+        key, who = np.concatenate([key[~many], own_key]), np.concatenate([who[~many], own_who])
+        held = np.concatenate([held[~many], known_held[np.searchsorted(known, own_key)]])
         room = np.bincount(who, minlength=k) - needed(n, percent) + 1
         keep = room[who] > 0
-        key, who = key[keep], who[keep]
-        order = np.lexsort((key, who))
+        key, who, held = key[keep], who[keep], held[keep]
+        order = np.lexsort((key, held, who))
         key, who = key[order], who[order]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         first = rank < room[who]
@@ -254,7 +276,7 @@ def _sets_of(width: int, bits, log2_bits: int):
     return scan
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], block: int = 1 << 14) -> np.ndarray:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], block: int = 1 << 12) -> np.ndarray:
     """Exact overlap counts of sorted sets: incidence blocks of ``block`` shingles, multiplied and added up."""
     rows = np.concatenate(left + right) if left or right else np.zeros(0, np.uint64)
     which = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in left + right])
@@ -337,7 +359,7 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
 
     few = max(1, blocks // 8)
     second = materialise(
-        first.where("kind in ('shared', 'sizes')").groupBy("flush").applyInPandas(_prefixes(percent, few), "block int, payload binary, a long, b long"), "prefixes"
+        first.where("kind in ('shared', 'local', 'sizes')").groupBy("flush").applyInPandas(_prefixes(percent, few), "block int, payload binary, a long, b long"), "prefixes"
     )
     across = second.where("block >= 0").select("block", "payload").groupBy("block").applyInPandas(_chain_block(percent), "a long, b long")
     chains = second.where("block < 0").select("a", "b").unionByName(across).distinct()
@@ -349,19 +371,18 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     )
     groups = components(chains, "x", "y")
 
-    # Tiles by set size within a component: a prefix count over (component, size), then even cuts.
+    # Tiles by set size within a component: a prefix sum over (component, size), then even cuts. Where
+    # one size alone fills tiles, rows of that size are spread over them by hash.
     member = groups.join(classes, groups["node"] == classes["rep"]).select("component", "rep", "n", "members")
-    steps = member.groupBy("component", "n").count()
-    by_size = steps.select("component", "n", (F.sum("count").over(_running("component", "n")) - F.col("count")).alias("before"))
+    steps = member.groupBy("component", "n").agg(F.sum("n").alias("mass"))
+    by_size = steps.withColumn("before", F.sum("mass").over(_running("component", "n")) - F.col("mass"))
     spread = F.pmod(F.xxhash64("rep"), F.lit(1 << 31)) / F.lit(1 << 31)
-    member = member.join(by_size.join(steps, ["component", "n"]), ["component", "n"]).select(
-        "component", "rep", "n", "members",
-        # Where one size alone fills tiles, rows of that size are spread over them by hash.
-        F.floor((F.col("before") + F.when(F.col("count") > TILE_ROWS // 2, F.floor(spread * F.col("count"))).otherwise(F.lit(0))) / F.lit(TILE_ROWS // 2)).cast("long").alias("tile"),
+    member = member.join(by_size, ["component", "n"]).select(
+        "component", "rep", "n", "members", F.floor((F.col("before") + F.floor(spread * F.col("mass"))) / F.lit(TILE_SHINGLES)).cast("long").alias("tile")
     )
     member = materialise(member, "members")
     spans = member.groupBy("component", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    # Each tile is sent to the pairs in which sizes allow a link; tiles are few hundredths of the rows.
+    # Each tile is sent to the pairs in which sizes allow a link; tiles are far fewer than rows.
     other = spans.select("component", F.col("tile").alias("tile_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     pairs = spans.join(other, "component").where(
         (F.col("tile") <= F.col("tile_b")) & (F.col("low_b") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("high_b") * 100)
