@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylake.llm.cluster import bitmap, in_bitmap, materialise
-from quarrylake.llm.textcore import LOWER, chunks, mix, runs, signed, word_hashes
+from quarrylake.llm.textcore import TOKEN_BYTE, chunks, fold_case, mix, runs, signed, word_hashes
 
 #: Token positions that each mask looks at.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 4, 5, 6), (0, 3, 5, 6, 8), (0, 1, 3, 4, 8), (0, 2, 4, 9, 10))
@@ -25,8 +25,6 @@ SPAN = max(m[-1] for m in MASKS) + 1
 #: Bits of the test hashes' bitmap (8 MB) and of the hit documents' (2 MB).
 LOG2_SEEDS, LOG2_DOCS = 26, 24
 
-_TOKEN_BYTE = np.zeros(256, bool)
-_TOKEN_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _MULTIPLIER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -35,11 +33,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     A-Z and the capitals of U+00C0 to U+00DE are lower-cased; other characters beyond ASCII count as letters.
     """
-    data = LOWER[data]
-    accented = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
-    capital = accented[(data[accented] >= 0x80) & (data[accented] <= 0x9E) & (data[accented] != 0x97)]
-    data[capital] += 0x20
-    starts, ends, first = runs(_TOKEN_BYTE[data], offsets)
+    data = fold_case(data)
+    starts, ends, first = runs(TOKEN_BYTE[data], offsets)
     return word_hashes(data, starts, ends), first
 
 

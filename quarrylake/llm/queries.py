@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrylake.llm.licenses import oracle as license_sql
 
@@ -25,12 +26,25 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylake.llm.language import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylake.llm.sharding import shard_documents
 
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylake.llm.toxicity import toxic_passages
+
+    found = toxic_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_tokens", F.size("passages").alias("n_passages"))
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -118,9 +132,11 @@ FROM sizes s
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_language_id": op4_language_id,
     "op5_balanced_shards": op5_balanced_shards,
     "op6_topk_search": op6_topk_search,
     "op7_url_filter": op7_url_filter,
+    "op8_toxic_segments": op8_toxic_segments,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }

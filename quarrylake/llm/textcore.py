@@ -117,6 +117,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h)
 
 
+def range_hashes(data: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """``word_hashes`` of several lists of byte ranges of the same bytes, with one pass over these."""
+    n = len(data)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(BYTE_VALUE[data] * _power_table("base", BASE, n), out=sums[1:]) if n else None
+    inverse = _power_table("inverse", BASE_INVERSE, n + 1)
+    return [mix((sums[ends] - sums[starts]) * inverse[starts]) for starts, ends in ranges]
+
+
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all windows of ``width`` consecutive word hashes (none if there are fewer)."""
     n = len(hashes) - width + 1
@@ -152,6 +161,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
+TOKEN_BYTE = np.zeros(256, bool)
+TOKEN_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """A copy with A-Z and the capitals of U+00C0 to U+00DE lower-cased."""
+    data = LOWER[data]
+    accented = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
+    capital = accented[(data[accented] >= 0x80) & (data[accented] <= 0x9E) & (data[accented] != 0x97)]
+    data[capital] += 0x20
+    return data
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as the signed longs that Spark has."""
     return x.view(np.int64)
