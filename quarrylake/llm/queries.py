@@ -20,6 +20,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"), license_table(spark))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylake.llm.mixing import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylake.llm.decontaminate import contaminated
 
@@ -131,6 +137,7 @@ FROM sizes s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_context_mixing": op2_context_mixing,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_balanced_shards": op5_balanced_shards,
