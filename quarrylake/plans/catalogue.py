@@ -255,7 +255,7 @@ def bounded_closure_parts(spark, sf_dir):
     return bounded_closure(both, spark.createDataFrame([("s1",)], "node string"), 3)
 
 
-_NAMES = ["Part#12", "part#99", "Prt#5", "widget"]
+_NAMES = ["smal ring", "red widgets", "blue", "hot gaer"]
 
 
 @_query(f"""WITH q(query) AS (VALUES {', '.join(f"('{x}')" for x in _NAMES)})
