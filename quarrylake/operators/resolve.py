@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions.extract import BUILTIN_TYPES
 from quarrylake.operators.lookup import first_per_key
+from quarrylake.operators.settle import settle
 
 _TS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs")
 
@@ -78,7 +79,7 @@ def resolve_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     last = F.element_at(F.split("specifier", "/"), -1)
     go = named.where("language = 'go' and fact = 'import'").withColumn("last", last).join(folders.withColumn("last", F.element_at(F.split("folder", "/"), -1)), "last")
     go = go.where(F.endswith("specifier", F.col("folder"))).select("path", "fact", "ord", "target", F.col("name").alias("local"), "imported")
-    return best.select("path", "fact", "ord", "target", "local", "imported").unionByName(go)
+    return settle(best.select("path", "fact", "ord", "target", "local", "imported").unionByName(go))
 
 
 def follow_reexports(imports: DataFrame, symbols: DataFrame, depth: int = 5) -> DataFrame:
@@ -92,21 +93,23 @@ def follow_reexports(imports: DataFrame, symbols: DataFrame, depth: int = 5) ->
     for hop in range(1, depth + 1):
         step = state.join(links, (state["target"] == links["via"]) & (links["exported"].isNull() | (links["exported"] == state["name"])))
         step = step.select("path", "local", F.col("next").alias("target"), F.coalesce("original", "name").alias("name"), F.lit(hop).alias("hops")).distinct()
-        state = step.join(everything, ["path", "local", "target", "name"], "left_anti")
+        state = settle(step.join(everything, ["path", "local", "target", "name"], "left_anti"))
+        if state.isEmpty():
+            break
         everything = everything.unionByName(state)
     declared = symbols.where("container IS NULL").select(F.col("path").alias("target"), "name").distinct()
     found = everything.join(declared, ["target", "name"])
-    return first_per_key(found.select("path", "local", "target", "name", "hops"), ["path", "local"], F.struct("hops", "target", "name")).drop("hops")
+    return settle(first_per_key(found.select("path", "local", "target", "name", "hops"), ["path", "local"], F.struct("hops", "target", "name")).drop("hops"))
 
 
-def declarations(facts: DataFrame, names: DataFrame, imports: DataFrame) -> DataFrame:
+def declarations(facts: DataFrame, names: DataFrame, links: DataFrame) -> DataFrame:
     """Names used in files (path, name) with their declaration: here, else imported, else in a sibling file.
 
-    Returns path, name, tier (0, 1, 2) and the declaring target, target_ord, kind, signature and body.
+    ``links`` is what ``follow_reexports`` gives. Returns path, name, tier (0, 1, 2) and the declaring target, target_ord, kind, signature and body.
     """
     symbols = facts.where("fact = 'symbol' and container IS NULL").select(F.col("path").alias("target"), F.col("ord").alias("target_ord"), F.col("name").alias("declared"), "kind", "signature", "body", "language")
     here = names.join(symbols, (F.col("path") == F.col("target")) & (F.col("name") == F.col("declared"))).withColumn("tier", F.lit(0))
-    linked = follow_reexports(imports, facts.where("fact = 'symbol'")).select("path", F.col("local").alias("name"), F.col("target").alias("to"), F.col("name").alias("as"))
+    linked = links.select("path", F.col("local").alias("name"), F.col("target").alias("to"), F.col("name").alias("as"))
     there = names.join(linked, ["path", "name"]).join(symbols, (F.col("to") == F.col("target")) & (F.col("as") == F.col("declared"))).withColumn("tier", F.lit(1))
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
     beside = names.withColumn("folder", folder("path")).join(
@@ -117,7 +120,7 @@ def declarations(facts: DataFrame, names: DataFrame, imports: DataFrame) -> Data
     return first_per_key(every, ["path", "name"], F.struct("tier", "target", "target_ord"))
 
 
-def type_closure(facts: DataFrame, imports: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def type_closure(facts: DataFrame, links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Types that seeds (query, path, symbol_ord) mention, directly or through each other's definitions.
 
     Types of the same file come at any depth from 0; ``depth`` bounds the steps. A name is visited once
@@ -129,12 +132,13 @@ def type_closure(facts: DataFrame, imports: DataFrame, seeds: DataFrame, depth:
     visited = None
     for level in range(depth + 1):
         names = frontier.join(refs, ["path", "symbol_ord"]).select("query", "path", "name").distinct()
-        found = names.join(declarations(facts, names.select("path", "name").distinct(), imports), ["path", "name"])
+        found = names.join(declarations(facts, names.select("path", "name").distinct(), links), ["path", "name"])
         if level == 0 and depth == 0:
             found = found.where("tier = 0")
         found = first_per_key(found.select("query", "name", F.lit(level).alias("level"), "target", "target_ord", "kind", "body"), ["query", "name"], F.struct("target", "target_ord"))
         if visited is not None:
             found = found.join(visited.select("query", "name"), ["query", "name"], "left_anti")
+        found = settle(found)
         visited = found if visited is None else visited.unionByName(found)
         frontier = found.select("query", F.col("target").alias("path"), F.col("target_ord").alias("symbol_ord"))
         if level == depth:
@@ -142,7 +146,7 @@ def type_closure(facts: DataFrame, imports: DataFrame, seeds: DataFrame, depth:
     return visited
 
 
-def call_stubs(facts: DataFrame, imports: DataFrame, seeds: DataFrame) -> DataFrame:
+def call_stubs(facts: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFrame:
     """Signatures of what seeds call: a member of the same class, else a declaration by name.
 
     Unresolved Python calls without a receiver get a stub; others are left out.
@@ -153,7 +157,7 @@ def call_stubs(facts: DataFrame, imports: DataFrame, seeds: DataFrame) -> DataFr
     members = facts.where("fact = 'symbol' and container IS NOT NULL").select("path", F.col("container").alias("owner"), "name", F.col("signature").alias("member"), F.col("ord").alias("member_ord"))
     members = first_per_key(members, ["path", "owner", "name"], F.col("member_ord")).drop("member_ord")
     calls = calls.join(members, ["path", "owner", "name"], "left")
-    direct = declarations(facts, calls.select("path", "name").distinct(), imports).select("path", "name", F.col("signature").alias("declared"))
+    direct = declarations(facts, calls.select("path", "name").distinct(), links).select("path", "name", F.col("signature").alias("declared"))
     calls = calls.join(direct, ["path", "name"], "left")
     mine = F.when(F.col("receiver").isin("this", "self"), F.col("member"))
     stub = F.when((F.col("language") == "python") & F.col("receiver").isNull(), F.concat(F.lit("def "), F.col("name"), F.lit("(*args, **kwargs): ...")))

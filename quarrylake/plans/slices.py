@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrylake.functions import text as T
 from quarrylake.operators import resolve
 from quarrylake.operators.lookup import first_match, suggest
+from quarrylake.operators.settle import settle
 
 
 def find_symbols(facts: DataFrame, queries: DataFrame) -> DataFrame:
@@ -35,23 +36,24 @@ def not_found(facts: DataFrame, queries: DataFrame) -> DataFrame:
 
 def slices(facts: DataFrame, files: DataFrame, queries: DataFrame, *, depth: int = 1, include_types: bool = True, include_calls: bool = True) -> DataFrame:
     """A row per query: symbol, types and calls as arrays, and token statistics against the whole file."""
-    imports = resolve.resolve_imports(facts, files)
-    found = find_symbols(facts, queries)
+    links = resolve.follow_reexports(resolve.resolve_imports(facts, files), facts.where("fact = 'symbol'"))
+    found = settle(find_symbols(facts, queries))
     seeds = found.select("query", "path", "symbol_ord")
     out = found
     kinds = []
     if include_types:
-        t = resolve.type_closure(facts, imports, seeds, depth).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("level", "name", "kind", "target", "body"))).alias("types"))
+        t = resolve.type_closure(facts, links, seeds, depth).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("level", "name", "kind", "target", "body"))).alias("types"))
         out, kinds = out.join(t, "query", "left"), [*kinds, "types"]
     else:
         out = out.withColumn("types", F.expr("cast(array() as array<struct<level:int,name:string,kind:string,target:string,body:string>>)"))
     if include_calls:
-        c = resolve.call_stubs(facts, imports, seeds).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("call_ord", "receiver", "name", "signature"))).alias("calls"))
+        c = resolve.call_stubs(facts, links, seeds).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("call_ord", "receiver", "name", "signature"))).alias("calls"))
         out, kinds = out.join(c, "query", "left"), [*kinds, "calls"]
     else:
         out = out.withColumn("calls", F.expr("cast(array() as array<struct<call_ord:bigint,receiver:string,name:string,signature:string>>)"))
     for k in kinds:
         out = out.withColumn(k, F.coalesce(k, F.array().cast(dict(out.dtypes)[k])))
+    out = settle(out)
     whole = files.select("path", T.count_tokens(F.col("content")).alias("raw_tokens"), T.count_lines(F.col("content")).alias("raw_lines"))
     out = out.join(whole, "path").withColumn("markdown", markdown(out))
     out = out.withColumn("sliced_tokens", T.count_tokens(F.col("markdown"))).withColumn("sliced_lines", T.count_lines(F.col("markdown")))
