@@ -2,9 +2,10 @@
 
 Each node wants the shard where most of its links lead. Wishes are summed by (from, to, bin), where the
 bin is a hash of the node, so the driver gets a table whose size depends on shards and bins alone; it
-grants bins of moves as capacities allow, and nodes move by a join with the grants. Rounds take turns in
-moving nodes to higher and to lower shards only, so two linked nodes don't swap places. At last nodes
-without a link at home are moved, bin by bin, until sizes are even.
+grants bins of moves as capacities allow, and nodes move by a join with the grants. In a round, nodes
+move between two shards one way only, and the other way in the next, so two linked nodes don't swap
+places; which way is hashed, so shards gain and lose about as much. At last nodes without a link at home
+are moved, bin by bin, until sizes are even.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def _move(nodes: DataFrame, wish: DataFrame, grants) -> DataFrame:
     return nodes.join(going, "node", "left").select("node", "size", F.coalesce("dst", "shard").alias("shard"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, *, shards: int = 8, rounds: int = 6, slack: float = 0.02, level_rounds: int = 3) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, *, shards: int = 8, rounds: int = 6, slack: float = 0.05, level_rounds: int = 3) -> DataFrame:
     """(node, size, shard) for ``nodes`` (node long, distinct; size long) and undirected ``edges`` (a, b).
 
     Sizes stay within ``slack`` of the mean while labels propagate, as far as single nodes allow, and
@@ -109,10 +110,11 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, *, shards: int = 8, ro
     for step in range(rounds if linked else 0):
         best = near(state).groupBy("node").agg(F.max_by("dst", F.struct("links", F.xxhash64(F.lit(1), "dst"))).alias("dst"), F.max("links").alias("links"))
         home = near(state).withColumnRenamed("dst", "shard").withColumnRenamed("links", "home")
+        turn = F.pmod(F.xxhash64(F.least("dst", "shard"), F.greatest("dst", "shard")) + step, F.lit(2)) == 0
         wish = (
             state.join(best, "node")
             .join(home, ["node", "shard"], "left")
-            .where((F.col("dst") < F.col("shard") if step % 2 else F.col("dst") > F.col("shard")) & (F.col("links") > F.coalesce("home", F.lit(0))))
+            .where((F.col("dst") != F.col("shard")) & ((F.col("dst") > F.col("shard")) == turn) & (F.col("links") > F.coalesce("home", F.lit(0))))
             .select("node", "size", "shard", "dst", F.pmod(F.xxhash64(F.lit(100 + step), "node"), F.lit(BINS)).cast("int").alias("bin"))
         )
         asked = [tuple(r) for r in wish.groupBy("shard", "dst", "bin").agg(F.sum("size")).collect()]
