@@ -53,6 +53,29 @@ def held_out_by(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(modulus) == F.lit(remainder), F.lit(False))
 
 
+#: Partial tables that one task adds up at once.
+FAN_IN = 64
+
+
+def tree_add(parts: DataFrame, keys: list[str], schema: str, add, tasks: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Partial tables by key and ``task`` (0 to ``tasks`` - 1), added up until at most ``fan_in`` a key are left.
+
+    ``add`` turns some rows of one key into one row of the same columns. Each round writes its sums, so
+    a key's rows never meet in one task by more than ``fan_in``, however many tasks there were.
+    """
+    while tasks > fan_in:
+        parts = materialise(parts.withColumn("task", F.floor(F.col("task") / fan_in).cast("int")).groupBy(*keys, "task").applyInPandas(add, schema), "sums")
+        tasks = -(-tasks // fan_in)
+    return parts
+
+
+def task_number() -> int:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
 def bitmap(df: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     """A bit for each value's top ``log2_bits`` bits (a long that is already well mixed), as packed uint8.
 

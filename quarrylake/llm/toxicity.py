@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import discard, held_out_by, materialise
+from quarrylake.llm.cluster import discard, held_out_by, materialise, task_number, tree_add
 from quarrylake.llm.textcore import TOKEN_BYTE, chunks, fold_case, mix, range_hashes, runs
 
 #: Buckets of the feature table: 12 bytes each in a task, 2 in the broadcast table, whatever the corpus.
@@ -31,6 +31,7 @@ PREFIXES = (6, 4)
 PRIOR, ERRORS = 0.1, 2.0
 DRIFT = 0.5
 _PARTS = 32
+_COUNTS = "part int, task int, counts binary"
 
 
 def features(data: np.ndarray, offsets: np.ndarray, log2_buckets: int = LOG2_BUCKETS):
@@ -66,8 +67,8 @@ def _count(labels, log2_buckets: int):
         parts = table.reshape(3, _PARTS, -1)
         some = [k for k in range(_PARTS) if parts[:, k].any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([pa.compress(np.ascontiguousarray(parts[:, k]).tobytes(), "zstd", asbytes=True) for k in some], pa.binary())],
-            names=["part", "counts"],
+            [pa.array(some, pa.int32()), pa.array([task_number()] * len(some), pa.int32()), pa.array([pa.compress(np.ascontiguousarray(parts[:, k]).tobytes(), "zstd", asbytes=True) for k in some], pa.binary())],
+            names=["part", "task", "counts"],
         )
 
     return scan
@@ -209,7 +210,7 @@ def toxic_passages(
     calibrates = mix(ids.view(np.uint64)) % np.uint64(3) == 0
     learnt = spark.sparkContext.broadcast((ids[~calibrates], toxic[~calibrates]))
 
-    counted = materialise(source.mapInArrow(_count(learnt, LOG2_BUCKETS), "part int, counts binary"), "counts")
+    counted = materialise(source.mapInArrow(_count(learnt, LOG2_BUCKETS), _COUNTS), "counts")
     weights = spark.sparkContext.broadcast(_weights(spark, counted, LOG2_BUCKETS))
     kept_ids = spark.sparkContext.broadcast(ids[calibrates])
 
@@ -255,6 +256,14 @@ def _weights(spark: SparkSession, counted: DataFrame, log2_buckets: int) -> np.n
             total += np.frombuffer(pa.decompress(x, 12 * width, "zstd"), np.int32).reshape(3, width)
         return total
 
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        # A count that 31 bits can't hold is past where its log-odds change.
+        total = np.minimum(add(pdf), 2**31 - 1).astype(np.int32)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "task": [pdf["task"].iloc[0]], "counts": [pa.compress(total.tobytes(), "zstd", asbytes=True)]})
+
+    tasks = (counted.agg(F.max("task")).first()[0] or 0) + 1
+    counted = tree_add(counted, ["part"], _COUNTS, some, tasks)
+
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         total = add(pdf)
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [total.tobytes()], "a": [int(total[0].sum())], "b": [int(total[1].sum())], "c": [int(total[2].sum())]})

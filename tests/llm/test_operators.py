@@ -196,8 +196,8 @@ def test_scores(spark, docs, rows, nothing):
     total, distinct = sum(counts.values()) + ends, len(counts) + 1
     base = lambda t: sum(math.log10((c + 0.5) / (total + 0.5 * (distinct + 1))) for c in [*(counts[w] for w in t), ends])
     expected = sorted(((r[0] if r[0] is not None else -1, len(words(r[1])) + 1, sum(counts[w] > 0 for w in words(r[1])) + 1, round(base(words(r[1])), 6)) for r in rows))
-    for head in (10**6, 5):
-        got = score_texts(docs, head_words=head).collect()
+    for head, fan_in in ((10**6, 64), (5, 2)):
+        got = score_texts(docs, head_words=head, fan_in=fan_in).collect()
         assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == expected
         assert {r["train_tokens"] for r in got} == {total} and all(r["score"] < 0 for r in got)
     assert score_texts(nothing).count() == 0
