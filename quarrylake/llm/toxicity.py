@@ -28,7 +28,7 @@ MOST_LABELS = 200_000
 #: Bytes of the two prefixes by which tokens are looked up, beside the whole word.
 PREFIXES = (6, 4)
 #: Prior counts as a share of a feature's expected labelled count; errors by which evidence is reduced.
-PRIOR, ERRORS = 0.1, 2.0
+PRIOR, ERRORS = 0.1, 3.0
 DRIFT = 0.5
 _PARTS = 32
 _COUNTS = "part int, task int, counts binary"
