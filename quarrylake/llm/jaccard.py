@@ -50,7 +50,8 @@ def chain(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray
     """Chain rows of equal hash whose size ranges are compatible.
 
     Rows are (hash, smallest size, largest size, id of one member). Returns edges between ids and the
-    chains, one row each. Rows are neighbours by size, so any compatible pair ends in one chain.
+    chains, one row each. In order of smallest sizes, a chain ends only where the largest size so far is
+    too small for the next smallest one, so any compatible pair ends in one chain.
     """
     order = np.lexsort((ids, low, hashes))
     h, lo, hi, x = hashes[order], low[order], high[order], ids[order]
@@ -60,7 +61,7 @@ def chain(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray
     segment = np.cumsum(new)
     top = np.maximum.accumulate(hi + segment * (np.int64(1) << 40)) - segment * (np.int64(1) << 40)
     joins = ~new
-    joins[1:] &= lo[1:] * 100 >= percent * top[:-1]
+    joins[1:] &= top[:-1] * 100 >= percent * lo[1:]
     i = np.flatnonzero(joins)
     edges = np.stack([x[i - 1], x[i]], axis=1)
     edges = edges[edges[:, 0] != edges[:, 1]]

@@ -95,6 +95,35 @@ def test_jaccard(spark, docs, rows, nothing, monkeypatch):
     assert sorted(map(tuple, jaccard.ngram_jaccard(docs).collect()), key=key) == sorted(ours, key=key)
 
 
+def test_jaccard_of_shared_passages_over_many_flushes(spark, monkeypatch):
+    from quarrylake.llm import jaccard
+
+    rng = random.Random(11)
+    passages = [" ".join(f"p{k}w{rng.randrange(10**6)}" for _ in range(rng.randint(12, 90))) for k in range(12)]
+    rows = [(k, " ".join(passages[p] for p in rng.sample(range(12), rng.randint(1, 6)))) for k in range(300)]
+    rows += [(k + 300, f"{rows[k][1]} {' '.join(f'q{rng.randrange(10**6)}' for _ in range(rng.randint(1, 9)))}") for k in range(120)]
+    want = sorted(brute_jaccard(rows), key=key)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for flush, tasks in ((300, 4), (3000, 4), (3000, 1), (30000, 1)):
+        monkeypatch.setattr(jaccard, "FLUSH_ROWS", flush)
+        ours = jaccard.ngram_jaccard(docs.repartition(tasks)).collect()
+        assert sorted(map(tuple, ours), key=key) == want, (flush, tasks)
+
+
+def test_chains_hold_every_pair_of_compatible_sizes():
+    from quarrylake.llm.jaccard import chain
+
+    def joined(rows):
+        h, lo, hi, x = (np.array(c) for c in zip(*rows))
+        return len(chain(h.astype(np.uint64), lo, hi, x, 80)[1][0])
+
+    assert joined([(1, 100, 130, 1), (1, 102, 128, 2)]) == 1
+    assert joined([(1, 100, 130, 1), (1, 102, 103, 2), (1, 160, 170, 3)]) == 1
+    assert joined([(1, 100, 100, 1), (1, 125, 125, 2)]) == 1
+    assert joined([(1, 100, 100, 1), (1, 126, 126, 2)]) == 2
+    assert joined([(1, 100, 130, 1), (2, 102, 128, 2)]) == 2
+
+
 def test_components_both_ways(spark):
     from quarrylake.llm.cluster import components
 
