@@ -5,7 +5,8 @@ some of which it ignores, so a substituted token spoils only the seeds that look
 the training texts pass a bitmap of the test texts' hashes (fixed size, never a false negative) and are
 equi-joined with them; a hit names a diagonal (where the item would begin in the document). Around each
 diagonal the tokens are compared: the best-scoring stretch, with matches and mismatches weighed, is
-the overlap, whatever single tokens were substituted in it.
+the overlap, whatever single tokens were substituted in it; or all of the diagonal, if enough of the
+item's tokens are equal there.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from quarrylake.llm.textcore import TOKEN_BYTE, chunks, fold_case, mix, runs, si
 #: Token positions that each mask looks at.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 4, 5, 6), (0, 3, 5, 6, 8), (0, 1, 3, 4, 8), (0, 2, 4, 9, 10))
 SPAN = max(m[-1] for m in MASKS) + 1
+#: Masks for items of fewer than SPAN tokens, down to SHORTEST; shorter ones have one seed, all their tokens.
+#: Wherever a fifth of an item's tokens, or fewer, are substituted, one of its seeds is spared.
+SHORT_MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 4), (0, 2, 3, 4))
+SHORTEST = max(m[-1] for m in SHORT_MASKS) + 1
 #: Bits of the test hashes' bitmap (8 MB) and of the hit documents' (2 MB).
 LOG2_SEEDS, LOG2_DOCS = 26, 24
 
@@ -49,6 +54,15 @@ def seeds(hashes: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     return mix(total)
 
 
+def masks_for(n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The numbered masks for an item of n tokens."""
+    if n >= SPAN:
+        return list(enumerate(MASKS))
+    if n >= SHORTEST:
+        return [(len(MASKS) + k, m) for k, m in enumerate(SHORT_MASKS)]
+    return [(len(MASKS) + len(SHORT_MASKS) + n, tuple(range(n)))] if n else []
+
+
 def _item_tokens(batches):
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column(1)):
@@ -60,13 +74,12 @@ def _item_tokens(batches):
 
 
 def _item_seeds(batches):
-    """(seed, item_id, at) of test texts; one shorter than the masks' span has one seed, all its tokens."""
+    """(seed, item_id, at) of test texts."""
     for batch in batches:
         ids, where, found = [], [], []
         for item_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
             h = np.frombuffer(raw.as_py(), np.uint64)
-            masks = list(enumerate(MASKS)) if len(h) >= SPAN else [(len(MASKS) + len(h), tuple(range(len(h))))] if len(h) else []
-            for number, mask in masks:
+            for number, mask in masks_for(len(h)):
                 s = seeds(h, mask, number)
                 found.append(s)
                 where.append(np.arange(len(s)))
@@ -79,7 +92,7 @@ def _item_seeds(batches):
 
 def _doc_seeds(bits, short: list[int]):
     """(seed, doc_id, at) of training texts for seeds that the bitmap may hold."""
-    masks = [*enumerate(MASKS), *((len(MASKS) + k, tuple(range(k))) for k in short)]
+    masks = sorted({*enumerate(MASKS), *(m for n in short for m in masks_for(n))})
 
     def scan(batches):
         for batch in batches:
@@ -130,21 +143,32 @@ def best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
     return begin, end, int(same[begin:end].sum())
 
 
+def overlap(same: np.ndarray, least: int, enough: int, penalty: int) -> tuple[int, int, int] | None:
+    """(begin, end, matches) of the best stretch if it has ``least`` equal tokens or ``enough``; else from
+    the first to the last equal token if there are ``enough`` in all; else None."""
+    stretch = best_stretch(same, penalty)
+    if stretch[2] >= min(least, enough):
+        return stretch
+    equal = np.flatnonzero(same)
+    return (int(equal[0]), int(equal[-1]) + 1, len(equal)) if len(equal) >= enough else None
+
+
 def _verify(least: int, share: float, penalty: int):
     def check(frames):
         for pdf in frames:
             out = []
             for doc_id, item_id, raw, item_raw, diagonals in zip(pdf["doc_id"], pdf["item_id"], pdf["doc"], pdf["item"], pdf["diagonals"]):
                 doc, item = np.frombuffer(raw, np.uint64), np.frombuffer(item_raw, np.uint64)
-                best = None
+                best, enough = None, max(1, int(np.ceil(round(share * len(item), 9))))
                 for d in sorted(diagonals):
                     lo, hi = max(0, -d), min(len(item), len(doc) - d)
                     if hi <= lo:
                         continue
-                    begin, end, matched = best_stretch(item[lo:hi] == doc[lo + d : hi + d], penalty)
-                    if best is None or matched > best[0]:
+                    found = overlap(item[lo:hi] == doc[lo + d : hi + d], least, enough, penalty)
+                    if found and (best is None or found[2] > best[0]):
+                        begin, end, matched = found
                         best = (matched, lo + begin + d, lo + begin, end - begin)
-                if best and best[0] >= min(least, np.ceil(share * len(item))):
+                if best:
                     out.append((doc_id, item_id, best[1], best[2], best[3], best[0], len(item)))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "length", "matched", "item_tokens"])
 
@@ -158,8 +182,10 @@ def contaminated(
     """The overlaps of training documents with test items: one row per document and item that overlap.
 
     Returns doc_id, item_id, doc_start and item_start (token numbers), length, matched (tokens equal in
-    the stretch), item_tokens. A pair overlaps if its best stretch has at least ``least`` equal tokens, or
-    ``share`` of the item's if that is fewer; a stretch weighs each substituted token ``penalty`` times.
+    the stretch), item_tokens. A pair overlaps if its best stretch has at least ``least`` equal tokens; a
+    stretch weighs each substituted token ``penalty`` times. It also overlaps if ``share`` of the item's
+    tokens are equal anywhere on one diagonal; where no stretch suffices, the overlap then goes from the
+    first equal token to the last.
     Of items with equal tokens the smallest id stands for all. Nulls, texts without tokens and rows
     without an id overlap with nothing; repeated rows of a document count once. Either table may be
     empty; other columns aren't read.

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -157,6 +158,25 @@ def test_decontamination(spark, nothing):
     assert contaminated(docs, empty).count() == 0 and contaminated(nothing, bench).count() == 0
 
 
+def test_every_item_with_four_fifths_of_its_tokens_is_found(spark):
+    from quarrylake.llm.decontaminate import contaminated
+
+    bench, rows, want = [], [], set()
+    for n in (3, 5, 6, 9, 10, 11, 14, 15, 16, 17):
+        item = [f"i{n}t{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        allowed = n - -(-8 * n // 10)
+        for spoilt in range(allowed + (2 if n < 16 else 1)):  # one more leaves 11 tokens at most
+            for where in combinations(range(n), spoilt):
+                text = ["x"] + ["changed" if k in where else w for k, w in enumerate(item)] + ["y"] * 3
+                rows.append((len(rows), " ".join(text)))
+                if spoilt <= allowed:
+                    want.add((rows[-1][0], n))
+    got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert all(r["matched"] >= min(12, 0.8 * r["item_tokens"]) and r["matched"] <= r["length"] <= r["item_tokens"] for r in got)
+
+
 def test_language(spark, docs, rows, nothing):
     from quarrylake.llm.language import identify
 
