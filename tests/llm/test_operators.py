@@ -280,6 +280,25 @@ def test_texts_are_scored_alone():
     assert np.allclose(together, alone, rtol=1e-6)
 
 
+def test_short_texts_refine_the_weights_of_their_gates():
+    from quarrylake.llm.mixing import LOG2_SLOTS, Decisions, Mixer
+
+    rng = np.random.default_rng(4)
+    mixer = Mixer([rng.integers(-60, 60, 1 << k).astype(np.int8) for k in LOG2_SLOTS])
+
+    def static(d):
+        z = np.stack([t.take(s) for t, s in zip(mixer.tables, d.slots)])
+        gate = mixer.sure[z[-2].view(np.uint8)] + mixer.word[z[-1].view(np.uint8)]
+        margin = (mixer.weights.T[:, gate] * z).sum(axis=0) / 8 * np.where(d.bits > 0, 1, -1)
+        return np.logaddexp(0, -margin).sum() / np.log(2)
+
+    for size in (100, 300, 1000, 3000):
+        raw = (b"some words that come again " * 200)[:size]
+        d = Decisions(np.frombuffer(raw, np.uint8), np.array([0, size]))
+        share = mixer.bits(d)[0] / static(d)
+        assert share > 0.99 if size == 100 else share < 0.98, (size, share)
+
+
 def test_shards(spark, docs, rows, nothing):
     from quarrylake.llm.sharding import shard_documents
 
