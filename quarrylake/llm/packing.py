@@ -4,7 +4,9 @@ Texts are tokenised once. A document longer than a sequence gives full pieces an
 histogram of piece lengths (at most as many rows as a sequence has tokens) goes to the driver, where
 lengths are placed longest first into the pack with most room, whole counts at a time, so the work is
 that of the histogram, not of the pieces. Each pattern then owns ranges of ranks of its lengths, and
-pieces find their sequence and offset by their rank among pieces of their length.
+pieces find their sequence and offset by their rank among pieces of their length. A piece's rank is its
+number among its task's pieces of that length plus the counts of the tasks before, so no key's pieces
+are ever gathered or sorted.
 """
 
 from __future__ import annotations
@@ -20,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import materialise
+from quarrylake.llm.cluster import materialise, task_number
 
 #: Strings of up to CACHED_CHARS characters whose ids a worker keeps, at most so many.
 CACHE_ENTRIES = 400_000
 CACHED_CHARS = 48
-#: Pieces in a rank bucket, about: rows that one task sorts at once.
-BUCKET_ROWS = 100_000
 END_ID = 1
 
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -110,13 +110,18 @@ def _byte_characters() -> dict[int, str]:
 
 
 def _cut(path: str, room: int):
-    """Rows of pieces: full ones, then the remainder; the end id belongs to the last piece."""
+    """Rows of pieces: full ones, then the remainder; the end id belongs to the last piece.
+
+    A row also has its task and its number among the task's pieces of its length. Both are written with
+    it, so they stay as they are whatever is read again.
+    """
 
     def scan(batches):
         encode = ByteBpe(path)
         end = np.array([END_ID], "<u4").tobytes()
+        made, task = Counter(), task_number()
         for batch in batches:
-            doc, start, length, crc, total = [], [], [], [], []
+            doc, start, length, crc, total, nth = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py()) + end
                 n = len(ids) // 4
@@ -127,8 +132,10 @@ def _cut(path: str, room: int):
                     length.append(len(piece) // 4)
                     crc.append(zlib.crc32(piece))
                     total.append(n)
+                    nth.append(made[length[-1]])
+                    made[length[-1]] += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total, [task] * len(doc), nth)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth"]
             )
 
     return scan
@@ -138,8 +145,9 @@ def pack_histogram(histogram: dict[int, int], room: int) -> list[tuple[tuple[int
     """Patterns (lengths in order of placing) with how many sequences follow each.
 
     Longest lengths first; each goes into the packs that have most room left, while any has enough,
-    else opens new ones. A step changes at most one group of equal packs into two, so there are at
-    most two groups a length. Deterministic: equal room is broken by the groups' order of making.
+    else opens new ones, each of which takes as many of the length as fit before the next is opened. A
+    length splits one group of equal packs at most, or opens two, so there are at most two groups a
+    length. Deterministic: equal room is broken by the groups' order of making.
     """
     heap: list[tuple[int, int]] = []
     groups: dict[int, list] = {}
@@ -164,9 +172,12 @@ def pack_histogram(histogram: dict[int, int], room: int) -> list[tuple[tuple[int
             else:
                 groups[k][1] -= take
             push((*lengths, length), take)
-        if left:
-            # A new pack of several equal lengths takes as many as fit, as placing one by one would.
-            push((length,), left)
+        # The new pack is the one with most room until no more of this length fit, as placing one by one would have it.
+        full, over = divmod(left, room // length)
+        if full:
+            push((length,) * (room // length), full)
+        if over:
+            push((length,) * over, 1)
     return [tuple(x) for x in groups.values()]
 
 
@@ -205,28 +216,24 @@ def pack(docs: DataFrame, tokenizer_path: str, *, room: int = 2048, id_col: str
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document's tokens are
     its ids and the end id 1; a null or empty text is the end id alone. A document over ``room`` tokens
-    is cut into full pieces and a remainder. Sequence ids are gapless from 0, offsets gapless within a
-    sequence; what remains of a sequence is padding. Null ids, repeated rows and equal lengths are kept
-    as pieces of their own; an empty table gives no rows; columns other than the two are not read.
+    is cut into full pieces and a remainder; a very long text takes the memory of its own ids. Sequence
+    ids are gapless from 0, offsets gapless within a sequence; what remains of a sequence up to ``room``
+    is padding, unless its tokens are a power of two, at which it may stay as it is. Null ids, repeated
+    rows and equal lengths are kept as pieces of their own, and none is a key that gathers rows; an empty
+    table gives no rows; columns other than the two, whatever their names, are not read.
     """
     spark = docs.sparkSession
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _cut(tokenizer_path, room), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+        _cut(tokenizer_path, room), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long"
     )
     pieces = materialise(pieces, "pieces")
-    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    by_task = pieces.groupBy("length", "task").count()
+    histogram = {r["length"]: r["count"] for r in by_task.groupBy("length").agg(F.sum("count").alias("count")).collect()}
     places = _places(pack_histogram(histogram, room))
 
-    buckets = max(1, sum(histogram.values()) // BUCKET_ROWS)
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    before = bucketed.groupBy("length", "bucket").count().select(
-        "length",
-        "bucket",
-        (F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("before"),
-    )
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
-    ranked = bucketed.withColumn("within", within).join(before, ["length", "bucket"]).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("within")).alias("rank")
-    )
+    # At most as many rows as a task has lengths, for each task; one window row a task and length.
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = by_task.select("length", "task", (F.sum("count").over(earlier) - F.col("count")).alias("before"))
+    ranked = pieces.join(before, ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ranked.mapInArrow(_place(places), schema) if len(places) else spark.createDataFrame([], schema)

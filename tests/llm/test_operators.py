@@ -443,6 +443,47 @@ def test_histogram_packing():
             for x in lengths:
                 placed[x] += count
         assert placed == Counter(histogram) and len(patterns) <= 2 * len(histogram)
+        assert Counter(sum(lengths) for lengths, count in patterns for _ in range(count)) == brute_packs(histogram, room)
+
+
+def brute_packs(histogram, room):
+    """How full packs are, shortest pack first, one piece at a time: longest pieces first, each into a pack with most room."""
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            best = min(packs, key=sum, default=None)
+            if best is None or sum(best) + length > room:
+                packs.append([length])
+            else:
+                best.append(length)
+    return Counter(map(sum, packs))
+
+
+@pytest.mark.parametrize(("histogram", "sequences"), [({100: 50}, 3), ({300: 1000, 5: 10}, 167), ({1: 1000}, 1), ({1024: 999}, 500), ({2048: 7, 1: 1}, 8), ({682: 3000}, 1000)])
+def test_equal_lengths_fill_their_sequences(histogram, sequences):
+    from quarrylake.llm.packing import pack_histogram
+
+    patterns = pack_histogram(histogram, 2048)
+    assert sum(count for _, count in patterns) == sequences
+    assert sum(len(lengths) * count for lengths, count in patterns) == sum(histogram.values())
+
+
+def test_a_table_of_equal_texts_is_packed_full(spark):
+    import public_tokenizers
+
+    from quarrylake.llm.packing import pack
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None if k % 3 else k, text, "clash") for text, n in ((None, 3000), ("word " * 127, 320)) for k in range(n)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, sequence_id string").repartition(5), path).collect()
+    assert len(got) == len(rows)
+    by: dict[int, list] = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(by) == list(range(len(by)))
+    for pieces in by.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:]))
+    assert sum(r["length"] for r in got) / (2048 * len(by)) > 0.95
 
 
 def test_licenses(spark, docs, rows, nothing):
