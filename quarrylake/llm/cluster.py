@@ -69,6 +69,30 @@ def tree_add(parts: DataFrame, keys: list[str], schema: str, add, tasks: int, fa
     return parts
 
 
+#: Rows of a key from which it is hot; never so few that more than MOST_HOT keys could be.
+HOT_ROWS, MOST_HOT = 100_000, 10_000
+
+
+def hot_limit(total: int) -> int:
+    """Rows that a key may have before it is hot, of ``total``."""
+    return max(HOT_ROWS, total // MOST_HOT)
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, count: str, total: int, hot_rows: int | None = None) -> DataFrame:
+    """Inner join of ``many`` with ``one``, whose keys are distinct and whose ``count`` says how many rows of ``many`` have each.
+
+    A key may hold any share of ``many``. Keys of more than ``hot_rows`` of the ``total`` rows, of which there
+    are at most ``MOST_HOT``, are broadcast, so their rows stay where they are; the others are joined by a
+    shuffle in which none weighs much. ``count`` is not in the result.
+    """
+    limit = hot_rows or hot_limit(total)
+    if total <= limit:
+        return many.join(one.drop(count), key)
+    hot = one.where(F.col(count) > limit).drop(count)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col(count) <= limit).drop(count), key)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def task_number() -> int:
     from pyspark import TaskContext
 

@@ -316,6 +316,44 @@ def test_shards(spark, docs, rows, nothing):
     assert shard_documents(nothing).count() == 0
 
 
+def test_shards_of_documents_are_even_and_keep_equal_texts_together(spark):
+    from quarrylake.llm.sharding import shard_documents
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = shard_documents(d).collect()
+    load, where = Counter(), {}
+    for r in got:
+        load[r["shard"]] += r["size"]
+        where.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert len(got) == d.count() and len(load) == 8
+    assert max(load.values()) - min(load.values()) <= 0.002 * sum(load.values()) / 8
+    assert all(len(x) == 1 for x in where.values())
+
+
+def test_a_row_that_fills_a_third_of_the_table_is_spread(spark):
+    from quarrylake.llm.sharding import shard_documents
+
+    rows = [(7, "the same row")] * 3000 + [(None, "no id")] * 1000 + [(k, f"text {k}") for k in range(5000)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert Counter(r["doc_id"] for r in got) == Counter(k for k, _ in rows)
+    assert max(load.values()) - min(load.values()) <= 0.01 * sum(load.values()) / 8
+    for s in load:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_hot_nodes_are_joined_apart_with_the_same_result(spark):
+    from quarrylake.llm.sharding import label_propagation
+
+    nodes = spark.range(3000).select(F.col("id").alias("node"), (F.col("id") % 5 + 1).alias("size"))
+    edges = spark.createDataFrame([(k, 0) for k in range(1, 150)] + [(k, k - k % 3) for k in range(300, 900) if k % 3], "a long, b long")
+    one, two = (sorted(map(tuple, label_propagation(nodes, edges, hot_links=n).collect())) for n in (10**6, 20))
+    assert one == two
+    assert len({s for n, _, s in one if n < 150}) == 1
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_label_propagation_keeps_groups_and_sizes(spark, hot):
     """Groups come together; a group larger than a shard fills its hub's shard, where others can't follow."""
