@@ -32,6 +32,8 @@ from quarrylake.llm.textcore import chunks, mix, shingle_sets, signed
 BLOCK_ROWS = 2_000_000
 FLUSH_ROWS = 1_200_000
 FLUSH_DOCS = 60_000
+#: Tile pairs that a task multiplies, about: their cost is quadratic, so tasks aren't merged by bytes.
+TASK_PAIRS = 4
 #: Shingles in a tile, about (one document may have more); bits of the candidate bitmap (2 MB).
 TILE_SHINGLES = 400_000
 LOG2_BITS = 24
@@ -340,8 +342,9 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     included), component_id (the least doc_id reachable by links, itself included). No link between
     different texts is lost and none is sampled; copies are counted, not expanded.
 
-    Nulls and empty texts have no shingles and are linked with nothing. A text of fewer words than
-    ``width`` is a single shingle. Repeated rows are documents of their own that are linked. A row with a
+    Nulls and empty texts have no shingles and are linked with nothing; an empty table gives no rows. A
+    text of fewer words than ``width`` is a single shingle; a very long one is a set like others, alone in
+    a tile if it fills one. Repeated rows are documents of their own that are linked. A row with a
     null id keeps its row, with n_similar 0 and a null component, and isn't counted for others. Other
     columns, whatever their names, are not read. Shingles are compared by 64-bit hashes and sets by a
     64-bit fingerprint of these together with their size.
@@ -388,12 +391,15 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     pairs = spans.join(other, "component").where(
         (F.col("tile") <= F.col("tile_b")) & (F.col("low_b") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("high_b") * 100)
     ).select("component", F.col("tile").alias("tile_a"), "tile_b")
+    pairs = materialise(pairs, "pairs")
+    tasks = int(max(1, min(100_000, pairs.count() // TASK_PAIRS)))
     visits = pairs.select("component", "tile_a", "tile_b", F.explode(F.array_distinct(F.array("tile_a", "tile_b"))).alias("tile"), F.when(F.col("tile_a") == F.col("tile_b"), 1).otherwise(2).alias("tiles"))
 
     bits = spark.sparkContext.broadcast(bitmap(member.select(F.col("rep")).mapInArrow(_mixed, "h long"), "h", LOG2_BITS))
     sets = source.where("doc_id is not null").mapInArrow(_sets_of(width, bits, LOG2_BITS), "doc_id long, grams binary").withColumnRenamed("doc_id", "rep")
     sized = member.join(sets, "rep").where(F.octet_length("grams") == F.col("n") * 8)
     tiles = sized.join(visits, ["component", "tile"]).select("component", "tile_a", "tile_b", "tile", "tiles", "rep", "members", "grams")
+    tiles = tiles.repartition(tasks, "component", "tile_a", "tile_b")
     links = materialise(tiles.groupBy("component", "tile_a", "tile_b").applyInPandas(_tile(percent), "rep long, links long, low long"), "links")
     degrees = links.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(links.select("rep", "low"), "rep", "low")
@@ -410,7 +416,7 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
         F.coalesce("similar", F.lit(0)).cast("long").alias("n_similar"),
         F.coalesce("lowest", "doc_id").alias("component_id"),
     )
-    discard(first, second)
+    discard(first, second, pairs)
     return out
 
 
