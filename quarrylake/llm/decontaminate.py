@@ -29,6 +29,10 @@ SHORT_MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2
 SHORTEST = max(m[-1] for m in SHORT_MASKS) + 1
 #: Bits of the test hashes' bitmap (8 MB) and of the hit documents' (2 MB).
 LOG2_SEEDS, LOG2_DOCS = 26, 24
+#: Test seeds (24 bytes each) up to which they are broadcast.
+FEW_SEEDS = 500_000
+#: Diagonals of a document and item that are verified together, at most.
+DIAGONALS = 4096
 
 _MULTIPLIER = np.uint64(0xA0761D6478BD642F)
 
@@ -201,9 +205,13 @@ def contaminated(
     bits = spark.sparkContext.broadcast(bitmap(tests, "seed", LOG2_SEEDS))
 
     train = source.mapInArrow(_doc_seeds(bits, short), "seed long, doc_id long, at long")
-    hits = train.join(tests.withColumnRenamed("at", "item_at"), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    # Few seeds are broadcast, so however many texts share one, their rows stay where they are; beyond
+    # that the join is a shuffle, in which adaptive execution splits a seed that many texts hold.
+    seeds_ = tests.withColumnRenamed("at", "item_at")
+    hits = train.join(F.broadcast(seeds_) if tests.count() <= FEW_SEEDS else seeds_, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = materialise(hits, "hits")
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
+    # One word, repeated, has as many diagonals as words: they are verified in stretches of bounded size.
+    pairs = hits.groupBy("doc_id", "item_id", F.floor(F.col("diagonal") / DIAGONALS).alias("stretch")).agg(F.collect_list("diagonal").alias("diagonals"))
 
     chosen = spark.sparkContext.broadcast(bitmap(hits.select("doc_id").distinct().mapInArrow(_mixed, "h long"), "h", LOG2_DOCS))
     texts = source.mapInArrow(_doc_tokens(chosen), "doc_id long, doc binary")
