@@ -21,6 +21,8 @@ from quarrylake.llm.textcore import LOWER, chunks
 #: Labelled texts learnt from: so many of each language, and so many in all, at most.
 MOST_PER_LANGUAGE, MOST_TEXTS = 1000, 6000
 LOG2_FEATURES = 12
+#: Texts whose feature vectors (16 kB each) are made at once, at most.
+MATRIX_ROWS = 512
 #: The family of each language code; one that isn't listed is a family of its own.
 FAMILIES: dict[str, str] = {
     **dict.fromkeys(("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "fy", "af", "lb"), "germanic"),
@@ -134,14 +136,16 @@ class Hierarchy:
         return lang, 1 / (1 + np.exp(-3 * np.clip(margin, -10, 10).astype(np.float64)))
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Predict the language of every whole text: doc_id, held_out, lang_pred, score (0 to 1).
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Predict the language of every whole text: doc_id, held_out, lang_pred, score (0 to 1); one row per row of ``docs``.
 
     Learns from text and non-null lang of rows whose crc32(id) mod 4 isn't 2: at most
     ``MOST_PER_LANGUAGE`` a language and ``MOST_TEXTS`` in all, chosen by a hash of the id. A text that is
     null or has no letter gets ``und`` and score 0, as does every text if there is nothing to learn from;
     with one language to learn, all others get it. Null ids are scored and not learnt from; repeated rows
-    are scored each; columns other than the three are not read, and lang isn't for a prediction.
+    are scored each; a very long text is one row like others, read whole; an empty table gives no rows.
+    Columns other than the three, whatever their names, are not read, and lang isn't for a prediction;
+    with ``keep``, a struct ``kept`` of these columns of the same row is added.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -157,7 +161,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
         def describe(batches):
             for batch in batches:
-                for lo, hi, data, offsets in chunks(batch.column(1)):
+                for lo, hi, data, offsets in chunks(batch.column(1), rows=MATRIX_ROWS):
                     x = feature_matrix(data, offsets).astype(np.float16)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
@@ -173,12 +177,16 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             has = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             lang, score = np.full(batch.num_rows, UNDETERMINED, dtype=object), np.zeros(batch.num_rows)
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(1), rows=MATRIX_ROWS):
                 if machines is not None:
                     lang[lo:hi], score[lo:hi] = machines.predict(feature_matrix(data, offsets))
             lang[~has], score[~has] = UNDETERMINED, 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return source.select("doc_id", "text", lettered.alias("lettered"), held_out_by(F.col("doc_id"), 4, 2).alias("held_out")).mapInArrow(
-        predict, "doc_id long, held_out boolean, lang_pred string, score double"
-    )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(3), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *batch.columns[4:]], names=["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[4:]]
+            )
+
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    asked = asked.select("doc_id", "text", lettered.alias("lettered"), held_out_by(F.col("doc_id"), 4, 2).alias("held_out"), *(["kept"] if keep else []))
+    schema = "doc_id long, held_out boolean, lang_pred string, score double" + (f", kept {dict(asked.dtypes)['kept']}" if keep else "")
+    return asked.mapInArrow(predict, schema)

@@ -52,10 +52,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets) over a string column; a null is an empty text.
 
-    A chunk holds whole texts and, unless it is one longer text, at most ``most`` bytes.
+    A chunk holds whole texts, at most ``rows`` of them and, unless it is one longer text, at most ``most`` bytes.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -71,7 +71,7 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, max(hi, lo + 1), lo + rows)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
