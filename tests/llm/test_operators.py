@@ -158,6 +158,19 @@ def test_decontamination(spark, nothing):
     assert contaminated(docs, empty).count() == 0 and contaminated(nothing, bench).count() == 0
 
 
+def test_a_repeated_word_has_all_its_diagonals(spark, monkeypatch):
+    from quarrylake.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "DIAGONALS", 16)
+    item = ["a"] * 20 + ["b"] + ["a"] * 9
+    docs = spark.createDataFrame([(1, " ".join(["a"] * 300 + item + ["a"] * 100)), (2, " ".join(["a"] * 10)), (3, " ".join(["c"] * 50))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for few in (10**6, 0):
+        monkeypatch.setattr(decontaminate, "FEW_SEEDS", few)
+        got = [tuple(r) for r in decontaminate.contaminated(docs, bench).collect()]
+        assert got == [(1, 7, 300, 0, 30, 30, 30)]
+
+
 def test_every_item_with_four_fifths_of_its_tokens_is_found(spark):
     from quarrylake.llm.decontaminate import contaminated
 
@@ -237,6 +250,36 @@ def test_toxicity(spark, docs, rows, nothing):
     assert {r["predicted"] for r in toxic_passages(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_held_out_recall(spark):
+    from quarrylake.llm.toxicity import toxic_passages
+
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxic_passages(d, labels).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    # Some documents labelled toxic hold no toxic word at all.
+    assert n[1, 1] >= 0.88 * (n[1, 0] + n[1, 1]) and n.get((0, 1), 0) <= 0.01 * (n[0, 0] + n.get((0, 1), 0))
+
+
+def test_toxicity_keeps_columns_of_the_same_row(spark):
+    from quarrylake.llm.toxicity import toxic_passages
+
+    rows = [(1, "a vile text", "x"), (1, "a plain text", "y"), (None, None, "z"), (1, "a vile text", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = toxic_passages(d, spark.createDataFrame([], "doc_id long, toxic int"), keep=("doc_id", "text", "score")).collect()
+    assert sorted(map(repr, (tuple(r["kept"]) for r in got))) == sorted(map(repr, rows))
+
+
+def test_language_keeps_columns_of_the_same_row_and_many_empty_texts(spark):
+    from quarrylake.llm.language import identify
+
+    rows = [(k, "" if k % 7 else f"the text {k}", "en", k) for k in range(3000)] + [(None, None, "en", -1), (5, "a text", "en", -2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long").coalesce(1)
+    got = identify(d, keep=("doc_id", "score")).collect()
+    assert sorted((r["kept"]["score"] for r in got)) == sorted(r[3] for r in rows)
+    assert all(r["doc_id"] == r["kept"]["doc_id"] for r in got)
+    assert all((r["lang_pred"] == "und") == (r["kept"]["score"] != -2 and (r["kept"]["score"] % 7 != 0 or r["kept"]["score"] < 0)) for r in got)
+
+
 def test_scores(spark, docs, rows, nothing):
     from quarrylake.llm.mixing import score_texts
 
