@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -48,6 +51,30 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory of this process back to the system; Python workers are used by one operator after another."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def lean(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``scan``, for mapInArrow, whose worker holds no freed memory when the task is over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scan(batches)
+        finally:
+            release()
+
+    return run
+
+
 def held_out_by(key: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; false for a null id."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(modulus) == F.lit(remainder), F.lit(False))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import bitmap, in_bitmap, materialise
+from quarrylake.llm.cluster import bitmap, in_bitmap, lean, materialise
 from quarrylake.llm.textcore import TOKEN_BYTE, chunks, fold_case, mix, runs, signed, word_hashes
 
 #: Token positions that each mask looks at.
@@ -204,7 +204,7 @@ def contaminated(
     short = sorted(r["n"] for r in lengths.collect())  # at most SPAN - 1 values
     bits = spark.sparkContext.broadcast(bitmap(tests, "seed", LOG2_SEEDS))
 
-    train = source.mapInArrow(_doc_seeds(bits, short), "seed long, doc_id long, at long")
+    train = source.mapInArrow(lean(_doc_seeds(bits, short)), "seed long, doc_id long, at long")
     # Few seeds are broadcast, so however many texts share one, their rows stay where they are; beyond
     # that the join is a shuffle, in which adaptive execution splits a seed that many texts hold.
     seeds_ = tests.withColumnRenamed("at", "item_at")
@@ -214,7 +214,7 @@ def contaminated(
     pairs = hits.groupBy("doc_id", "item_id", F.floor(F.col("diagonal") / DIAGONALS).alias("stretch")).agg(F.collect_list("diagonal").alias("diagonals"))
 
     chosen = spark.sparkContext.broadcast(bitmap(hits.select("doc_id").distinct().mapInArrow(_mixed, "h long"), "h", LOG2_DOCS))
-    texts = source.mapInArrow(_doc_tokens(chosen), "doc_id long, doc binary")
+    texts = source.mapInArrow(lean(_doc_tokens(chosen)), "doc_id long, doc binary")
     verified = (
         pairs.join(texts, "doc_id")
         .join(items, "item_id")

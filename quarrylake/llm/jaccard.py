@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import bitmap, components, discard, in_bitmap, materialise
+from quarrylake.llm.cluster import bitmap, components, discard, in_bitmap, lean, materialise
 from quarrylake.llm.textcore import chunks, mix, shingle_sets, signed
 
 #: Incidences in a block, about; incidences and documents that a task gathers before it sends them.
@@ -33,7 +33,7 @@ BLOCK_ROWS = 2_000_000
 FLUSH_ROWS = 1_200_000
 FLUSH_DOCS = 60_000
 #: Tile pairs that a task multiplies, about: their cost is quadratic, so tasks aren't merged by bytes.
-TASK_PAIRS = 4
+TASK_PAIRS = 64
 #: Shingles in a tile, about (one document may have more); bits of the candidate bitmap (2 MB).
 TILE_SHINGLES = 400_000
 LOG2_BITS = 24
@@ -355,7 +355,7 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     # About a sixth of the bytes are shingles; more or fewer blocks only change their size.
     text_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(max(1, text_bytes // 6 // BLOCK_ROWS))
-    first = materialise(source.mapInArrow(_incidences(width, blocks), _PARTS).groupBy("key").applyInPandas(_answer, _PARTS), "incidences")
+    first = materialise(source.mapInArrow(lean(_incidences(width, blocks)), _PARTS).groupBy("key").applyInPandas(_answer, _PARTS), "incidences")
     rows = materialise(first.where("kind = 'rows'").select("payload").mapInArrow(_row_table, "doc_id long, n long, print long"), "rows")
     classes = materialise(
         rows.where("n > 0 and doc_id is not null").groupBy("print", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes"
@@ -396,7 +396,7 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     visits = pairs.select("component", "tile_a", "tile_b", F.explode(F.array_distinct(F.array("tile_a", "tile_b"))).alias("tile"), F.when(F.col("tile_a") == F.col("tile_b"), 1).otherwise(2).alias("tiles"))
 
     bits = spark.sparkContext.broadcast(bitmap(member.select(F.col("rep")).mapInArrow(_mixed, "h long"), "h", LOG2_BITS))
-    sets = source.where("doc_id is not null").mapInArrow(_sets_of(width, bits, LOG2_BITS), "doc_id long, grams binary").withColumnRenamed("doc_id", "rep")
+    sets = source.where("doc_id is not null").mapInArrow(lean(_sets_of(width, bits, LOG2_BITS)), "doc_id long, grams binary").withColumnRenamed("doc_id", "rep")
     sized = member.join(sets, "rep").where(F.octet_length("grams") == F.col("n") * 8)
     tiles = sized.join(visits, ["component", "tile"]).select("component", "tile_a", "tile_b", "tile", "tiles", "rep", "members", "grams")
     tiles = tiles.repartition(tasks, "component", "tile_a", "tile_b")

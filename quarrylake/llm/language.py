@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import held_out_by
+from quarrylake.llm.cluster import held_out_by, lean
 from quarrylake.llm.textcore import LOWER, chunks
 
 #: Labelled texts learnt from: so many of each language, and so many in all, at most.
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     x = feature_matrix(data, offsets).astype(np.float16)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-        rows = sample.mapInArrow(describe, "doc_id long, lang string, x binary").toPandas()
+        rows = sample.mapInArrow(lean(describe), "doc_id long, lang string, x binary").toPandas()
         if len(rows):
             rows = rows.sort_values(["doc_id", "lang"], ignore_index=True)
             x = np.frombuffer(b"".join(rows["x"]), np.float16).reshape(len(rows), -1).astype(np.float32)
@@ -189,4 +189,4 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
     asked = asked.select("doc_id", "text", lettered.alias("lettered"), held_out_by(F.col("doc_id"), 4, 2).alias("held_out"), *(["kept"] if keep else []))
     schema = "doc_id long, held_out boolean, lang_pred string, score double" + (f", kept {dict(asked.dtypes)['kept']}" if keep else "")
-    return asked.mapInArrow(predict, schema)
+    return asked.mapInArrow(lean(predict), schema)

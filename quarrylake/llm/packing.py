@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import materialise, task_number
+from quarrylake.llm.cluster import lean, materialise, task_number
 
 #: Strings of up to CACHED_CHARS characters whose ids a worker keeps, at most so many.
 CACHE_ENTRIES = 400_000
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, room: int = 2048, id_col: str
     """
     spark = docs.sparkSession
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _cut(tokenizer_path, room), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long"
+        lean(_cut(tokenizer_path, room)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long"
     )
     pieces = materialise(pieces, "pieces")
     by_task = pieces.groupBy("length", "task").count()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import discard, held_out_by, materialise, task_number, tree_add
+from quarrylake.llm.cluster import discard, held_out_by, lean, materialise, task_number, tree_add
 from quarrylake.llm.textcore import TOKEN_BYTE, chunks, fold_case, mix, range_hashes, runs
 
 #: Buckets of the feature tables: 4 bytes each in a task (beside what labelled texts hold), 2 in the
@@ -40,7 +40,7 @@ DRIFT = 0.5
 _PARTS = 32
 _COUNTS = "part int, task int, counts binary"
 #: Numbers of the folds' toxic and clean counts that a task holds before it merges equal ones.
-_HELD = 4_000_000
+_HELD = 1_500_000
 
 
 def features(data: np.ndarray, offsets: np.ndarray, log2_buckets: int = LOG2_BUCKETS):
@@ -61,6 +61,18 @@ def _count(labels, log2_buckets: int):
         everywhere = np.zeros(1 << log2_buckets, np.int32)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+
+        def send(counts_everywhere: np.ndarray) -> pa.RecordBatch:
+            keys, counts = _merged(held)
+            at = np.argsort(keys & ((1 << log2_buckets) - 1), kind="stable")
+            keys, counts = keys[at], counts[at]
+            width = (1 << log2_buckets) // _PARTS
+            edges = np.searchsorted(keys & ((1 << log2_buckets) - 1), np.arange(_PARTS + 1) * width)
+            parts = counts_everywhere.reshape(_PARTS, width)
+            some = [k for k in range(_PARTS) if edges[k + 1] > edges[k] or parts[k].any()]
+            payloads = [_packed(parts[k], keys[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]], log2_buckets) for k in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([task_number()] * len(some), pa.int32()), pa.array(payloads, pa.binary())], names=["part", "task", "counts"])
+
         for batch in batches:
             doc_ids = batch.column(0).fill_null(-1).to_numpy().astype(np.int64)
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -75,32 +87,28 @@ def _count(labels, log2_buckets: int):
                 which = cell[lo + doc]
                 own = which >= 0
                 if own.any():
-                    held.append(np.unique((which[own] << log2_buckets | bucket[own]).astype(np.int32), return_counts=True))
-                    size += len(held[-1][0])
+                    keys, counts = np.unique((which[own] << log2_buckets | bucket[own]).astype(np.int32), return_counts=True)
+                    held.append((keys, counts.astype(np.int32)))
+                    size += len(keys)
                     if size > _HELD:
                         held = [_merged(held)]
                         size = len(held[0][0])
-        keys, counts = _merged(held)
-        at = np.argsort(keys & ((1 << log2_buckets) - 1), kind="stable")
-        keys, counts = keys[at], counts[at]
-        width = (1 << log2_buckets) // _PARTS
-        edges = np.searchsorted(keys & ((1 << log2_buckets) - 1), np.arange(_PARTS + 1) * width)
-        parts = everywhere.reshape(_PARTS, width)
-        some = [k for k in range(_PARTS) if parts[k].any()]
-        payloads = [_packed(parts[k], keys[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]], log2_buckets) for k in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([task_number()] * len(some), pa.int32()), pa.array(payloads, pa.binary())], names=["part", "task", "counts"])
+                        if size > _HELD // 2:
+                            yield send(np.zeros_like(everywhere))
+                            held, size = [], 0
+        yield send(everywhere)
 
     return scan
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not held:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     keys, counts = map(np.concatenate, zip(*held))
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int32) if len(keys) else counts
 
 
 def _packed(everywhere: np.ndarray, keys: np.ndarray, counts: np.ndarray, log2_buckets: int) -> bytes:
@@ -294,7 +302,7 @@ def toxic_passages(
     learnt = spark.sparkContext.broadcast((ids, 2 * folds + ~toxic))
 
     texts = source.select("doc_id", "text")
-    counted = materialise(texts.mapInArrow(_count(learnt, LOG2_BUCKETS), _COUNTS), "counts")
+    counted = materialise(texts.mapInArrow(lean(_count(learnt, LOG2_BUCKETS)), _COUNTS), "counts")
     tables, totals = _tables(spark, counted, LOG2_BUCKETS)
     discard(counted)
 
@@ -304,7 +312,7 @@ def toxic_passages(
     shared = spark.sparkContext.broadcast(tables)
     fold_of = spark.sparkContext.broadcast((ids, folds))
     tried = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").mapInArrow(
-        _try_choices(shared, totals, fold_of, LOG2_BUCKETS), "doc_id long, choice int, n_tokens long, sums array<double>, histogram binary"
+        lean(_try_choices(shared, totals, fold_of, LOG2_BUCKETS)), "doc_id long, choice int, n_tokens long, sums array<double>, histogram binary"
     )
     tried = materialise(tried, "choices")
     best = None
@@ -322,7 +330,7 @@ def toxic_passages(
     del tables
 
     extra = f", kept {dict(source.dtypes)['kept']}" if keep else ""
-    scored = materialise(source.mapInArrow(_score(weights, LOG2_BUCKETS), "doc_id long, n_tokens long, begins array<long>, ends array<long>, sums array<double>" + extra), "segments")
+    scored = materialise(source.mapInArrow(lean(_score(weights, LOG2_BUCKETS)), "doc_id long, n_tokens long, begins array<long>, ends array<long>, sums array<double>" + extra), "segments")
 
     expected = lambda s: F.exp(F.greatest(F.least(F.lit(c.ln_k) + F.log(F.greatest("n_tokens", F.lit(1))) - F.lit(c.rate) * s, F.lit(700.0)), F.lit(-700.0)))
     surprise = lambda s: F.greatest(-F.log(F.greatest(-F.expm1(-expected(s)), F.lit(1e-300))) - F.lit(float(np.log(2))), F.lit(0.0))
