@@ -28,7 +28,7 @@ _DECLARATIONS = {
     "typescript": [
         (re.compile(rf"^([ \t]*){_MOD}(function\*?|class|interface|enum)\s+({_IDENT})", re.M), None),
         (re.compile(rf"^([ \t]*){_MOD}(type)\s+({_IDENT})[^=\n]*=", re.M), None),
-        (re.compile(rf"^([ \t]*){_MOD}(const|let|var)\s+({_IDENT})[^=\n]*=\s*(?:async\s*)?(?:\(|function\b|{_IDENT}\s*=>)", re.M), "function"),
+        (re.compile(rf"^([ \t]*){_MOD}(const|let|var)\s+({_IDENT})[^=\n]*=\s*(?:async\s*)?(?:\(|function\b|{_IDENT}\s*=>|(?:React\.)?(?:forwardRef|memo)\b)", re.M), "function"),
     ],
     "go": [(re.compile(rf"^()(func)\s+({_IDENT})", re.M), "function"), (re.compile(rf"^()(type)\s+({_IDENT})", re.M), None)],
     "rust": [(re.compile(rf"^([ \t]*)(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|extern\s+\"C\")\s+)*(fn|struct|enum|trait|type)\s+({_IDENT})", re.M), None)],
@@ -40,7 +40,23 @@ _IMPL = re.compile(rf"^[ \t]*impl(?:<[^>{{]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?({_IDE
 _CALL = re.compile(rf"(?:({_IDENT}|\bself|\bthis)\s*(?:\.|::)\s*)?({_IDENT})\s*(?:::<[^>]*>)?\(")
 _TYPE = re.compile(r"\b([A-Z]\w*)\b")
 _WORDS = {"if", "for", "while", "switch", "return", "catch", "function", "func", "fn", "match", "loop", "new", "super", "constructor", "await", "typeof", "else", "def", "class", "and", "or", "not", "in", "is", "lambda", "print"}
-BUILTIN_TYPES = {"String", "Number", "Boolean", "Array", "Promise", "Map", "Set", "Date", "Object", "Record", "Partial", "Error", "Vec", "Option", "Result", "Box", "Self", "Some", "None", "Ok", "Err", "True", "False", "Optional", "List", "Dict", "Any", "Union", "Exception", "ValueError"}
+#: Capitalised names that a language or its libraries give, by language; they are no references.
+BUILTINS = {
+    "typescript": frozenset(
+        "Array ArrayBuffer Awaited BigInt Boolean Buffer ConstructorParameters DataView Date Error EvalError Exclude Extract Function Infinity InstanceType Int8Array Intl Iterable Iterator JSON Map Math NaN NonNullable "
+        "Number Object Omit Parameters Partial Pick Promise Proxy RangeError Readonly ReadonlyArray Record ReferenceError Reflect RegExp Required ReturnType Set String Symbol SyntaxError TypeError URL Uint8Array WeakMap WeakSet".split()
+    ),
+    "python": frozenset(
+        "Any Annotated ArithmeticError AssertionError AttributeError BaseException Callable ClassVar Counter DefaultDict Deque Dict Ellipsis Enum Exception False Final FrozenSet Generator Generic ImportError IndexError "
+        "Iterable Iterator KeyError List Literal LookupError Mapping NamedTuple None NotImplementedError OSError Optional OrderedDict Path Protocol RuntimeError Self Sequence Set StopIteration Tuple True Type TypeError TypeVar TypedDict Union ValueError".split()
+    ),
+    "go": frozenset("Context Duration Error Mutex Once Reader RWMutex String Time WaitGroup Writer".split()),
+    "rust": frozenset(
+        "Arc AsRef Box BTreeMap Cell Clone Copy Cow Debug Default Deref Display Drop Eq Err Error Fn FnMut FnOnce From FromStr Hash HashMap HashSet Into IntoIterator Iterator Mutex None Ok Option Ord PartialEq PartialOrd "
+        "PathBuf Pin Rc RefCell Result RwLock Self Send Some String Sync ToString Vec".split()
+    ),
+}
+BUILTINS["javascript"] = BUILTINS["typescript"]
 
 
 def blank(source: str, language: str) -> str:
@@ -48,11 +64,14 @@ def blank(source: str, language: str) -> str:
     return (_RUST_NOISE if language == "rust" else _NOISE).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
+_STRUCTURE = re.compile(r"[()\[\]{};\n]")
+
+
 def block_end(masked: str, at: int) -> int:
     """Where the declaration at ``at`` ends: its closing brace, or its first ; or line end before any brace."""
     depth = parens = 0
-    for k in range(at, len(masked)):
-        c = masked[k]
+    for m in _STRUCTURE.finditer(masked, at):
+        k, c = m.start(), m[0]
         if c in "([":
             parens += 1
         elif c in ")]":
@@ -65,23 +84,32 @@ def block_end(masked: str, at: int) -> int:
                 return k + 1
             if depth < 0:
                 return k
-        elif c == ";" and depth == 0 and parens <= 0:
-            return k + 1
-        elif c == "\n" and depth == 0 and parens <= 0 and re.match(r"\s*(\n|$|[\w@#])", masked[k + 1 : k + 200]) and not masked[at:k].rstrip().endswith(("=", "|", "&", ",", "=>", "where")):
-            return k
+        elif depth == 0 and parens <= 0:
+            if c == ";":
+                return k + 1
+            if c == "\n" and re.match(r"\s*(\n|$|[\w@#])", masked[k + 1 : k + 200]) and not masked[max(at, k - 200) : k].rstrip().endswith(("=", "|", "&", ",", "=>", "where")):
+                return k
     return len(masked)
 
 
 class _Lines:
+    """Line numbers and byte offsets of character offsets, from offsets of line starts taken once."""
+
     def __init__(self, source: str):
         self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
-        self.source = source
+        self.source, self.ascii = source, source.isascii()
+        self.bytes = [0]
+        for row in () if self.ascii else source.split("\n"):
+            self.bytes.append(self.bytes[-1] + len(row.encode()) + 1)
 
     def number(self, at: int) -> int:
         return bisect.bisect_right(self.starts, at)
 
     def byte(self, at: int) -> int:
-        return len(self.source[:at].encode())
+        if self.ascii:
+            return at
+        line = self.number(at) - 1
+        return self.bytes[line] + len(self.source[self.starts[line] : at].encode())
 
 
 def _doc_above(source: str, at: int) -> str | None:
@@ -231,16 +259,56 @@ def reexports(source: str) -> Iterator[tuple[str | None, str | None, str]]:
                 yield alias.strip() or name.strip(), name.strip(), m[3]
 
 
+def generics(signature: str, language: str) -> set[str]:
+    """Names that a declaration's own type parameters give."""
+    if language == "python":
+        inner = re.search(r"^(?:async\s+)?(?:def|class)\s+\w+\s*\[([^\]]*)\]", signature, re.M)
+        named = re.findall(r"Generic\[([^\]]*)\]|Protocol\[([^\]]*)\]", signature)
+        return {x.split(":")[0].strip(" *") for part in [inner[1] if inner else "", *(a or b for a, b in named)] for x in part.split(",")} - {""}
+    opened = "[" if language == "go" else "<"
+    m = re.search(r"(?:\w+|impl)\s*" + re.escape(opened) + r"([^()]*?)" + re.escape({"[": "]", "<": ">"}[opened]) + r"\s*(?:[({=]|extends|implements|struct|interface|for|\w)", signature)
+    if not m:
+        return set()
+    return {re.match(r"\s*(?:const\s+|in\s+|out\s+)*'?(\w*)", x)[1] for x in m[1].split(",")} - {""}
+
+
+_FIELD = re.compile(rf"(?:^|[;{{}}\n])[ \t]*(?:(?:public|private|protected|readonly|static|declare|override)\s+)*({_IDENT})\s*[?!]?\s*:\s*({_IDENT})", re.M)
+_INJECTED = re.compile(rf"(?:public|private|protected|readonly)\s+(?:readonly\s+)?({_IDENT})\s*\??\s*:\s*({_IDENT})")
+
+
+def fields(body: str, language: str) -> dict[str, str]:
+    """The declared types of a class's fields, those that its constructor takes included."""
+    if language not in ("typescript", "javascript"):
+        return {}
+    masked = blank(body, language)
+    out: dict[str, str] = {}
+    inner = masked.partition("{")[2]
+    depth, flat = 0, []
+    for c in inner:
+        depth += c == "{"
+        if depth == 0:
+            flat.append(c)
+        depth -= c == "}" and depth > 0
+    for m in _FIELD.finditer("\n" + re.sub(r"\([^)]*\)", "()", "".join(flat))):
+        out.setdefault(m[1], m[2])
+    made = re.search(r"constructor\s*\(([^)]*)\)", masked)
+    for m in _INJECTED.finditer(made[1] if made else ""):
+        out.setdefault(m[1], m[2])
+    return out
+
+
 def facts_of(path: str, language: str, source: str) -> list[tuple]:
     """All facts about one file."""
     symbols = (python_symbols(source) or indented_symbols(source)) if language == "python" else structural_symbols(source, language)
+    builtin = BUILTINS.get(language, frozenset())
     out = []
     for k, s in enumerate(symbols):
         out.append(_row(path, language, "symbol", ord=k, symbol_ord=k, **{c: v for c, v in s.items() if c in _COLUMNS}))
         masked = re.sub(r"#[^\n]*", "", s["body"]) if language == "python" else blank(s["body"], language)
+        own = generics(s["signature"], language)
         seen: dict[str, None] = {}
         for m in _TYPE.finditer(masked):
-            if m[1] != s["name"] and m[1] not in BUILTIN_TYPES:
+            if m[1] != s["name"] and m[1] not in builtin and m[1] not in own:
                 seen.setdefault(m[1])
         out += [_row(path, language, "ref", ord=j, symbol_ord=k, name=name) for j, name in enumerate(seen)]
         calls: dict[tuple, None] = {}
@@ -248,6 +316,8 @@ def facts_of(path: str, language: str, source: str) -> list[tuple]:
             if m[2] not in _WORDS and m[2] != s["name"] and (m[1] or "") not in _WORDS:
                 calls.setdefault((m[1], m[2]))
         out += [_row(path, language, "call", ord=j, symbol_ord=k, receiver=r, name=c) for j, (r, c) in enumerate(calls)]
+        if s["kind"] == "class":
+            out += [_row(path, language, "field", ord=j, symbol_ord=k, container=s["name"], name=n, imported=t) for j, (n, t) in enumerate(fields(s["body"], language).items())]
     out += [_row(path, language, "import", ord=k, name=a, imported=b, specifier=c, level=d) for k, (a, b, c, d) in enumerate(imports(source, language))]
     if language in ("typescript", "javascript"):
         out += [_row(path, language, "reexport", ord=k, name=a, imported=b, specifier=c) for k, (a, b, c) in enumerate(reexports(source))]

@@ -92,6 +92,22 @@ def strip_comment_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines_of(text), lambda x: ~F.trim(x).rlike(r"^(//|#|/\*|\*)")), "\n")
 
 
+def strip_comments(text: Column) -> Column:
+    """Without comment lines: //, #, lines that begin a docstring's quotes, and all of a block comment from a line
+    that begins one to the line that ends it. One pass over the lines, carrying whether it is in a block."""
+    begins = lambda x: F.trim(x)
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("inside"))
+
+    def step(acc, x):
+        opens = begins(x).startswith("/*")
+        closes = F.contains(x, F.lit("*/"))
+        dropped = acc["inside"] | opens | begins(x).rlike("^(//|#|\"\"\"|''')")
+        inside = F.when(acc["inside"], ~closes).otherwise(opens & ~closes)
+        return F.struct(F.when(dropped, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"), inside.alias("inside"))
+
+    return F.aggregate(lines_of(text), start, step, lambda acc: F.array_join(acc["kept"], "\n"))
+
+
 def first_line(text: Column) -> Column:
     return F.trim(F.element_at(lines_of(text), 1))
 

@@ -15,8 +15,14 @@ def candidates(text: Column) -> list[tuple[str, Column]]:
 
 
 def fit(df: DataFrame, text: str, budget: int) -> DataFrame:
-    """Adds level, reduced, reduced_tokens and fits. The last level is taken even if it doesn't fit."""
+    """Adds level, reduced, reduced_tokens and fits. The last level is taken even if it doesn't fit.
+
+    Levels are tried in turn by nested conditions, so a row's later ones are neither made nor counted.
+    """
     levels = candidates(F.col(text))
-    out = df.withColumn("_all", F.array(*[F.struct(F.lit(name).alias("level"), c.alias("reduced"), T.count_tokens(c).alias("reduced_tokens")) for name, c in levels]))
-    out = out.withColumn("_pick", F.coalesce(F.get(F.filter("_all", lambda x: x["reduced_tokens"] <= budget), F.lit(0)), F.element_at("_all", -1)))
+    made = lambda name, c: F.struct(F.lit(name).alias("level"), c.alias("reduced"), T.count_tokens(c).alias("reduced_tokens"))
+    pick = made(*levels[-1])
+    for name, c in reversed(levels[:-1]):
+        pick = F.when(T.count_tokens(c) <= budget, made(name, c)).otherwise(pick)
+    out = df.withColumn("_pick", pick)
     return out.select(*df.columns, "_pick.level", "_pick.reduced", "_pick.reduced_tokens", (F.col("_pick.reduced_tokens") <= budget).alias("fits"))

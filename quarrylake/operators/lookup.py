@@ -38,9 +38,12 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, hi
 
 
 def next_after(df: DataFrame, key: str, order: list[str], is_target: Column, value: str) -> Column:
-    """Forward as-of: the next target row's ``value`` after each row, within the key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return F.first(F.when(is_target, F.col(value)), ignorenulls=True).over(w)
+    """Forward as-of: the next target row's ``value`` after each row, within the key.
+
+    In descending order the frame only grows, so a key's rows are passed once.
+    """
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(is_target, F.col(value)), ignorenulls=True).over(w)
 
 
 def carried(key: str, order: list[str], value: Column) -> Column:
@@ -61,11 +64,36 @@ def longest_ancestor(paths: DataFrame, roots: DataFrame, path: str, root: str) -
     return paths.join(best, path, "left")
 
 
-def suggest(names: DataFrame, queries: DataFrame, name: str, query: str, distance: int = 2) -> DataFrame:
-    """Candidates for each of a few queries: equal, one a prefix of the other, or few edits apart.
+#: Queries up to which each name is compared with all of them.
+FEW_QUERIES = 1000
+
+
+def suggest(names: DataFrame, queries: DataFrame, name: str, query: str, distance: int = 2, few: int = FEW_QUERIES) -> DataFrame:
+    """Candidates for each query: equal, one a prefix of the other, or few edits apart.
 
-    ``queries`` is a stated, small set (a user's misspelt symbols); names are streamed past it.
+    A user's misspelt symbols, up to ``few``, are sent to all names. More are joined with them by keys that
+    a pair must share: a whole string that is the other's prefix, or what is left of both when at most
+    ``distance`` characters are taken out.
     """
     q, n = F.lower(F.col(query)), F.lower(F.col(name))
     like = (q == n) | n.startswith(q) | q.startswith(n) | F.levenshtein(q, n, distance).between(0, distance)
-    return names.join(queries, like).withColumn("tier", F.when(q == n, 0).when(n.startswith(q) | q.startswith(n), 1).otherwise(2))
+    tier = F.when(q == n, 0).when(n.startswith(q) | q.startswith(n), 1).otherwise(2)
+    if queries.limit(few + 1).count() <= few:
+        return names.join(F.broadcast(queries), like).withColumn("tier", tier)
+    keyed = lambda df, c, whole, prefix: df.select(F.col(c).alias(f"_{c}")).where(F.col(c).isNotNull()).distinct().select(f"_{c}", F.explode(_keys(F.lower(f"_{c}"), distance, whole, prefix)).alias("_key"))
+    pairs = keyed(names, name, "n", "q").join(keyed(queries, query, "q", "n"), "_key").select(f"_{name}", f"_{query}").distinct()
+    out = names.join(pairs, names[name] == pairs[f"_{name}"]).join(queries, F.col(f"_{query}") == queries[query]).drop(f"_{name}", f"_{query}")
+    return out.where(like).withColumn("tier", tier)
+
+
+def _keys(text: Column, distance: int, whole: str, prefix: str) -> Column:
+    """Keys of one side: what is left of the string without up to ``distance`` characters; the string, marked
+    ``whole``; and its prefixes, marked ``prefix``, which meet the other side's whole strings."""
+    left = F.array(text)
+    out = F.transform(left, lambda t: F.concat(F.lit("d"), t))
+    without = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(t.substr(F.lit(1), i - 1), t.substr(i + 1, F.length(t))))
+    for _ in range(distance):
+        left = F.array_distinct(F.flatten(F.transform(left, without)))
+        out = F.concat(out, F.transform(left, lambda t: F.concat(F.lit("d"), t)))
+    prefixes = F.transform(F.sequence(F.lit(0), F.length(text)), lambda i: F.concat(F.lit(prefix), text.substr(F.lit(1), i)))
+    return F.array_distinct(F.concat(out, F.array(F.concat(F.lit(whole), text)), prefixes))

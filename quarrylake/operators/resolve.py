@@ -8,15 +8,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.functions.extract import BUILTIN_TYPES
-from quarrylake.operators.lookup import first_per_key
+from quarrylake.operators.lookup import ancestors, first_per_key
 from quarrylake.operators.settle import settle
 
 _TS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs")
 
 
-def candidate_paths(path: str, language: str, specifier: str, level: int, roots: tuple[str, ...] = ("", "src", "lib", "app", "backend")) -> list[str]:
-    """Files that a specifier in ``path`` may mean, the likeliest first."""
+def candidate_paths(path: str, language: str | None, specifier: str, level: int, roots: tuple[str, ...] = ("", "src", "lib", "app", "backend"), package_first: bool = False) -> list[str]:
+    """Files that a specifier in ``path`` may mean, the likeliest first; of an unknown language, those of all.
+
+    ``package_first``: a Python folder with __init__ comes before the module of the same name.
+    """
+    if language not in ("typescript", "javascript", "python", "rust", "go"):
+        return list(dict.fromkeys(c for x in ("typescript", "python", "rust") for c in candidate_paths(path, x, specifier, level, roots, package_first)))
     here = posixpath.dirname(path)
     join = lambda *p: posixpath.normpath(posixpath.join(*p)).removeprefix("./")
     if language in ("typescript", "javascript"):
@@ -45,7 +49,8 @@ def candidate_paths(path: str, language: str, specifier: str, level: int, roots:
                 ancestors.append(up)
                 up = posixpath.dirname(up)
             bases = [join(r, inner) for r in (*ancestors, *roots)]
-        return list(dict.fromkeys(x for b in bases for x in (f"{b}.py", f"{b}/__init__.py", f"{b}.pyi")))
+        ends = ("/__init__.py", ".py", ".pyi") if package_first else (".py", "/__init__.py", ".pyi")
+        return list(dict.fromkeys(b + e for b in bases for e in ends))
     if language == "rust":
         parts = [p for p in specifier.split("::") if p]
         root = path.split("src/")[0] + "src" if "src/" in path else here
@@ -63,7 +68,8 @@ def candidate_paths(path: str, language: str, specifier: str, level: int, roots:
 def resolve_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     """(path, ord, local, imported, target): every import with the first candidate file that exists.
 
-    Go imports name a package: each file of a folder that the specifier ends with is a target.
+    Go imports name a package, each file of whose folder is a target: the folder under a go.mod whose
+    module the specifier begins with, else one that the specifier ends with.
     """
     named = facts.where("fact in ('import', 'reexport')").select("path", "language", "fact", "ord", "name", "imported", "specifier", F.coalesce("level", F.lit(0)).alias("level"))
 
@@ -76,9 +82,17 @@ def resolve_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     hits = tried.join(files.select(F.col("path").alias("target")), "target")
     best = first_per_key(hits.select("path", "fact", "ord", "try", "target", F.col("name").alias("local"), "imported"), ["path", "fact", "ord"], F.col("try")).drop("try")
     folders = files.where("language = 'go'").select(F.col("path").alias("target"), F.regexp_replace("path", "/?[^/]*$", "").alias("folder"))
+    wanted = named.where("language = 'go' and fact = 'import'").select("path", "fact", "ord", "specifier", F.col("name").alias("local"), "imported")
+    modules = files.where(F.col("path").rlike(r"(^|/)go\.mod$")).select(F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("module"), F.regexp_replace("path", "/?go\\.mod$", "").alias("base")).where("module != ''")
+    inside = F.expr("ltrim('/', substring(specifier, length(module) + 1))")
+    own = wanted.withColumn("module", F.explode(ancestors(F.col("specifier")))).join(modules, "module").withColumn("inside", inside)
+    own = own.withColumn("folder", F.concat_ws("/", F.nullif("base", F.lit("")), F.nullif("inside", F.lit("")))).join(folders, "folder").withColumn("tier", F.lit(0))
     last = F.element_at(F.split("specifier", "/"), -1)
-    go = named.where("language = 'go' and fact = 'import'").withColumn("last", last).join(folders.withColumn("last", F.element_at(F.split("folder", "/"), -1)), "last")
-    go = go.where(F.endswith("specifier", F.col("folder"))).select("path", "fact", "ord", "target", F.col("name").alias("local"), "imported")
+    beside = wanted.withColumn("last", last).join(folders.withColumn("last", F.element_at(F.split("folder", "/"), -1)), "last").where(F.endswith("specifier", F.col("folder"))).withColumn("tier", F.lit(1))
+    columns = ["path", "fact", "ord", "target", "local", "imported", "tier"]
+    go = own.select(*columns).unionByName(beside.select(*columns))
+    least = go.groupBy("path", "fact", "ord").agg(F.min("tier").alias("tier"))
+    go = go.join(least, ["path", "fact", "ord", "tier"]).select("path", "fact", "ord", "target", "local", "imported").distinct()
     return settle(best.select("path", "fact", "ord", "target", "local", "imported").unionByName(go))
 
 
@@ -126,8 +140,7 @@ def type_closure(facts: DataFrame, links: DataFrame, seeds: DataFrame, depth: in
     Types of the same file come at any depth from 0; ``depth`` bounds the steps. A name is visited once
     per query. Returns query, name, level, target, target_ord, kind, body.
     """
-    builtin = facts.sparkSession.createDataFrame([(x,) for x in sorted(BUILTIN_TYPES)], "name string")
-    refs = facts.where("fact = 'ref'").select("path", "symbol_ord", "name").join(builtin, "name", "left_anti")
+    refs = facts.where("fact = 'ref'").select("path", "symbol_ord", "name")
     frontier = seeds.select("query", "path", "symbol_ord")
     visited = None
     for level in range(depth + 1):
@@ -147,19 +160,26 @@ def type_closure(facts: DataFrame, links: DataFrame, seeds: DataFrame, depth: in
 
 
 def call_stubs(facts: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Signatures of what seeds call: a member of the same class, else a declaration by name.
+    """Signatures of what seeds call: a member of the same class, a member of the declared type of the class's
+    field, else a declaration by name.
 
     Unresolved Python calls without a receiver get a stub; others are left out.
     """
     calls = seeds.join(facts.where("fact = 'call'").select("path", "symbol_ord", F.col("ord").alias("call_ord"), "receiver", "name", "language"), ["path", "symbol_ord"])
     own = facts.where("fact = 'symbol'").select("path", F.col("ord").alias("symbol_ord"), F.col("container").alias("owner"))
     calls = calls.join(own, ["path", "symbol_ord"])
-    members = facts.where("fact = 'symbol' and container IS NOT NULL").select("path", F.col("container").alias("owner"), "name", F.col("signature").alias("member"), F.col("ord").alias("member_ord"))
-    members = first_per_key(members, ["path", "owner", "name"], F.col("member_ord")).drop("member_ord")
+    every = facts.where("fact = 'symbol' and container IS NOT NULL").select("path", F.col("container").alias("owner"), "name", F.col("signature").alias("member"), F.col("ord").alias("member_ord"))
+    members = first_per_key(every, ["path", "owner", "name"], F.col("member_ord")).drop("member_ord")
     calls = calls.join(members, ["path", "owner", "name"], "left")
+    held = facts.where("fact = 'field'").select("path", F.col("container").alias("owner"), F.col("name").alias("receiver"), F.col("imported").alias("type"))
+    calls = settle(calls.join(held, ["path", "owner", "receiver"], "left"))
+    typed = calls.where("type IS NOT NULL").select("path", F.col("type").alias("name")).distinct()
+    places = declarations(facts, typed, links).select("path", F.col("name").alias("type"), F.col("target").alias("at"), F.col("name").alias("declared_as"))
+    of_field = places.join(members.select(F.col("path").alias("at"), F.col("owner").alias("declared_as"), "name", F.col("member").alias("of_field")), ["at", "declared_as"]).select("path", "type", "name", "of_field")
+    calls = calls.join(of_field, ["path", "type", "name"], "left")
     direct = declarations(facts, calls.select("path", "name").distinct(), links).select("path", "name", F.col("signature").alias("declared"))
     calls = calls.join(direct, ["path", "name"], "left")
     mine = F.when(F.col("receiver").isin("this", "self"), F.col("member"))
     stub = F.when((F.col("language") == "python") & F.col("receiver").isNull(), F.concat(F.lit("def "), F.col("name"), F.lit("(*args, **kwargs): ...")))
-    out = calls.withColumn("signature", F.coalesce(mine, F.when(F.col("receiver").isNull() | F.col("member").isNull(), F.col("declared")), stub)).where("signature IS NOT NULL")
+    out = calls.withColumn("signature", F.coalesce(mine, F.col("of_field"), F.when(F.col("receiver").isNull() | F.col("member").isNull(), F.col("declared")), stub)).where("signature IS NOT NULL")
     return first_per_key(out.select("query", "receiver", "name", "call_ord", "signature"), ["query", "receiver", "name"], F.struct("call_ord", "signature"))

@@ -49,3 +49,24 @@ def grouped(events: DataFrame) -> DataFrame:
     """Totals, by language and by source in one pass over the events (grouping sets)."""
     e = events.select(T.display_language(F.col("language")).alias("language"), F.coalesce("source", F.lit("unknown")).alias("source"), "saved_tokens")
     return e.groupingSets([[], ["language"], ["source"]], "language", "source").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("requests"), F.sum("saved_tokens").alias("saved_tokens"))
+
+
+def recent(events: DataFrame, n: int = 10, order: str | None = None) -> DataFrame:
+    """The last ``n`` events in the order of the log, the latest first; by time where the log has no ordinal."""
+    return events.orderBy(*([F.desc(order)] if order else [F.desc("timestamp"), F.desc("file_path"), F.desc("symbol")])).limit(n)
+
+
+def summary(events: DataFrame) -> DataFrame:
+    """Totals in one row with lists: languages, sources (both by tokens saved) and the ten latest events."""
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    listed = lambda df, k, name: one(df.agg(F.transform(F.array_sort(F.collect_list(F.struct(*k, F.struct(*df.columns).alias("row")))), lambda x: x["row"]).alias(name)))
+    languages = listed(by_language(events), [(-F.col("saved_tokens")).alias("k"), F.col("language").alias("k2")], "by_language")
+    sources = listed(by_source(events), [(-F.col("saved_tokens")).alias("k"), F.col("source").alias("k2")], "by_source")
+    latest = one(recent(events).agg(F.reverse(F.array_sort(F.collect_list(F.struct("timestamp", "file_path", "symbol", "raw_tokens", "sliced_tokens", "saved_tokens")))).alias("recent")))
+    return one(totals(events)).join(languages, "_one").join(sources, "_one").join(latest, "_one").drop("_one")
+
+
+def diff_totals(sliced: DataFrame) -> DataFrame:
+    """Sums over slices; what is saved is the difference of the sums, never below 0, and so is its share."""
+    out = sliced.agg(F.count("*").alias("slices"), F.coalesce(F.sum("raw_tokens"), F.lit(0)).alias("raw_tokens"), F.coalesce(F.sum("sliced_tokens"), F.lit(0)).alias("sliced_tokens"))
+    return out.withColumn("saved_tokens", T.saturating_sub(F.col("raw_tokens"), F.col("sliced_tokens"))).withColumn("savings_pct", T.savings_percentage(F.col("raw_tokens"), F.col("sliced_tokens")))

@@ -72,7 +72,7 @@ def markdown(df: DataFrame) -> Column:
 
 def fit_budget(sliced: DataFrame, budget: int) -> DataFrame:
     """The first reduction that fits: all; no comments; short types; two types; call names; two calls; folded body; signature."""
-    bare = T.strip_comment_lines(F.col("body"))
+    bare = T.strip_comments(F.col("body"))
     types = F.transform("types", lambda x: T.minify_definition(x["body"]))
     calls = F.transform("calls", lambda x: T.first_line(x["signature"]))
     full_types, full_calls = F.transform("types", lambda x: x["body"]), F.transform("calls", lambda x: x["signature"])
@@ -100,7 +100,7 @@ def batch(sliced: DataFrame) -> DataFrame:
 
 def overview(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Per file: language, lines, tokens and its top-level symbols in order, by path."""
-    items = facts.where("fact = 'symbol' and container IS NULL").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "kind", "signature", "doc"))).alias("symbols"))
+    items = facts.where("fact = 'symbol' and container IS NULL").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "kind", "signature", "doc", "start_line", "end_line"))).alias("symbols"))
     out = files.select("path", "language", T.count_lines(F.col("content")).alias("lines"), T.count_tokens(F.col("content")).alias("tokens")).join(items, "path", "left")
     return out.withColumn("symbols", F.coalesce("symbols", F.array().cast(dict(out.dtypes)["symbols"]))).orderBy("path")
 
@@ -115,13 +115,22 @@ def changed_symbols(facts: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def routes(files: DataFrame) -> DataFrame:
-    """HTTP routes declared in source lines: path, line, method, route, handler (the next def for a decorator)."""
+    """HTTP routes declared in source lines: path, line, method, route, handler (the next def for a decorator).
+
+    A decorator may go over several lines: its route is in its first string.
+    """
     from pyspark.sql import Window
 
     rows = files.select("path", F.posexplode(F.split("content", "\n")).alias("line", "text"))
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    following = F.first(F.when(F.col("text").rlike(r"^\s*(async\s+)?def\s"), F.regexp_extract("text", r"def\s+(\w+)", 1)), ignorenulls=True).over(w)
-    call = r"""\.(get|post|put|patch|delete|GET|POST|PUT|PATCH|DELETE)\(\s*["'`](/[^"'`]*)["'`]\s*(?:,\s*(.*?))?\)?;?\s*$"""
-    rows = rows.withColumn("following", following).where(F.col("text").rlike(call))
+    # In descending order the frame only grows, so a file's lines are passed once.
+    w = Window.partitionBy("path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = lambda pattern, inner: F.last(F.when(F.col("text").rlike(pattern), F.regexp_extract("text", inner, 1)), ignorenulls=True).over(w)
+    following = nearest(r"^\s*(async\s+)?def\s", r"def\s+(\w+)")
+    string = nearest(r"""^\s*["']/""", r"""^\s*["'](/[^"']*)""")
+    verbs = r"\.(get|post|put|patch|delete|GET|POST|PUT|PATCH|DELETE)\("
+    call = verbs + r"""\s*["'`](/[^"'`]*)["'`]\s*(?:,\s*(.*?))?\)?;?\s*$"""
+    opened = r"^\s*@[\w.]+" + verbs + r"\s*$"
+    rows = rows.withColumn("following", following).withColumn("string", string).where(F.col("text").rlike(call) | F.col("text").rlike(opened))
     handler = F.when(F.ltrim("text").startswith("@"), F.col("following")).otherwise(F.regexp_extract(F.regexp_extract("text", call, 3), r"([A-Za-z_]\w*)\W*$", 1))
-    return rows.select("path", (F.col("line") + 1).alias("line"), F.upper(F.regexp_extract("text", call, 1)).alias("method"), F.regexp_extract("text", call, 2).alias("route"), handler.alias("handler"))
+    route = F.when(F.col("text").rlike(opened), F.col("string")).otherwise(F.regexp_extract("text", call, 2))
+    return rows.select("path", (F.col("line") + 1).alias("line"), F.upper(F.regexp_extract("text", verbs, 1)).alias("method"), route.alias("route"), handler.alias("handler")).where("route is not null")
