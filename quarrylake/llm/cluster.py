@@ -51,6 +51,17 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of texts in one Arrow batch, about: what a task holds several times over, on both sides.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have the session send batches of at most about ``BATCH_BYTES`` to Python, unless it asks for less already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 @cache
 def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import bitmap, in_bitmap, lean, materialise
+from quarrylake.llm.cluster import bitmap, bounded_batches, in_bitmap, lean, materialise
 from quarrylake.llm.textcore import TOKEN_BYTE, chunks, fold_case, mix, runs, signed, word_hashes
 
 #: Token positions that each mask looks at.
@@ -195,6 +195,7 @@ def contaminated(
     empty; other columns aren't read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
     items = items.mapInArrow(_item_tokens, "item_id long, item binary").where("length(item) > 0").groupBy("item").agg(F.min("item_id").alias("item_id"))

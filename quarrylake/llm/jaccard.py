@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import bitmap, components, discard, in_bitmap, lean, materialise
+from quarrylake.llm.cluster import bitmap, bounded_batches, components, discard, in_bitmap, lean, materialise
 from quarrylake.llm.textcore import chunks, mix, shingle_sets, signed
 
 #: Incidences in a block, about; incidences and documents that a task gathers before it sends them.
-BLOCK_ROWS = 2_000_000
-FLUSH_ROWS = 1_200_000
+BLOCK_ROWS = 1_000_000
+FLUSH_ROWS = 800_000
 FLUSH_DOCS = 60_000
 #: Tile pairs that a task multiplies, about: their cost is quadratic, so tasks aren't merged by bytes.
 TASK_PAIRS = 64
@@ -350,6 +350,7 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     64-bit fingerprint of these together with their size.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     # About a sixth of the bytes are shingles; more or fewer blocks only change their size.

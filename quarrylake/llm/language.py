@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import held_out_by, lean
+from quarrylake.llm.cluster import bounded_batches, held_out_by, lean
 from quarrylake.llm.textcore import LOWER, chunks
 
 #: Labelled texts learnt from: so many of each language, and so many in all, at most.
@@ -148,6 +148,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     with ``keep``, a struct ``kept`` of these columns of the same row is added.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     learnable = source.where("lang is not null and doc_id is not null and text is not null").where(~held_out_by(F.col("doc_id"), 4, 2))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import lean, materialise, task_number
+from quarrylake.llm.cluster import bounded_batches, lean, materialise, task_number
 
 #: Strings of up to CACHED_CHARS characters whose ids a worker keeps, at most so many.
 CACHE_ENTRIES = 400_000
@@ -223,6 +223,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, room: int = 2048, id_col: str
     table gives no rows; columns other than the two, whatever their names, are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         lean(_cut(tokenizer_path, room)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long"
     )

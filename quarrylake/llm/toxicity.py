@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import discard, held_out_by, lean, materialise, task_number, tree_add
+from quarrylake.llm.cluster import bounded_batches, discard, held_out_by, lean, materialise, task_number, tree_add
 from quarrylake.llm.textcore import TOKEN_BYTE, chunks, fold_case, mix, range_hashes, runs
 
 #: Buckets of the feature tables: 4 bytes each in a task (beside what labelled texts hold), 2 in the
@@ -289,6 +289,7 @@ def toxic_passages(
     whatever their names, are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     kept = [F.struct(*keep).alias("kept")] if keep else []
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
     known = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -330,7 +331,7 @@ def toxic_passages(
     del tables
 
     extra = f", kept {dict(source.dtypes)['kept']}" if keep else ""
-    scored = materialise(source.mapInArrow(lean(_score(weights, LOG2_BUCKETS)), "doc_id long, n_tokens long, begins array<long>, ends array<long>, sums array<double>" + extra), "segments")
+    scored = source.mapInArrow(lean(_score(weights, LOG2_BUCKETS)), "doc_id long, n_tokens long, begins array<long>, ends array<long>, sums array<double>" + extra)
 
     expected = lambda s: F.exp(F.greatest(F.least(F.lit(c.ln_k) + F.log(F.greatest("n_tokens", F.lit(1))) - F.lit(c.rate) * s, F.lit(700.0)), F.lit(-700.0)))
     surprise = lambda s: F.greatest(-F.log(F.greatest(-F.expm1(-expected(s)), F.lit(1e-300))) - F.lit(float(np.log(2))), F.lit(0.0))
