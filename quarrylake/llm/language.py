@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import bounded_batches, held_out_by, lean
+from quarrylake.llm.cluster import bounded_batches, held_out_by, lean, release
 from quarrylake.llm.textcore import LOWER, chunks
 
 #: Labelled texts learnt from: so many of each language, and so many in all, at most.
@@ -64,15 +64,18 @@ def feature_matrix(data: np.ndarray, offsets: np.ndarray, log2_features: int = L
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 30.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss; y is +1 or -1. Deterministic accelerated gradient descent."""
+    """A linear SVM with squared hinge loss; y is +1 or -1. Deterministic accelerated gradient descent.
+
+    ``x`` is used as it is, in single precision, so the fit takes no more memory than its rows.
+    """
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb = w, b
     rate = 1 / (1 / penalty + 4.0)
     for k in range(1, steps + 1):
-        slack = np.maximum(0, 1 - y * (x @ vw + vb))
+        slack = np.maximum(0, 1 - y * (x @ vw.astype(np.float32) + vb))
         g = share * y * slack * 2
-        nw = vw - rate * (vw / penalty - x.T @ g)
+        nw = vw - rate * (vw / penalty - g.astype(np.float32) @ x)
         nb = vb + rate * g.sum()
         vw, vb = nw + (k - 1) / (k + 2) * (nw - w), nb + (k - 1) / (k + 2) * (nb - b)
         w, b = nw, nb
@@ -97,7 +100,7 @@ class Hierarchy:
         for classes, label in [(sorted(families), family), *((sorted(names), lang) for _, names in sorted(families.items()))]:
             for a, b in combinations(classes, 2):
                 rows = (label == a) | (label == b)
-                w, c = fit_svm(x[rows].astype(np.float64), np.where(label[rows] == a, 1.0, -1.0))
+                w, c = fit_svm(x if rows.all() else x[rows], np.where(label[rows] == a, 1.0, -1.0))
                 pairs.append((a, b))
                 weights.append(w)
                 bias.append(c)
@@ -166,11 +169,18 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     x = feature_matrix(data, offsets).astype(np.float16)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-        rows = sample.mapInArrow(lean(describe), "doc_id long, lang string, x binary").toPandas()
-        if len(rows):
-            rows = rows.sort_values(["doc_id", "lang"], ignore_index=True)
-            x = np.frombuffer(b"".join(rows["x"]), np.float16).reshape(len(rows), -1).astype(np.float32)
-            model = Hierarchy.fit(x, rows["lang"].to_numpy(object))
+        # At most about MOST_TEXTS rows of 8 kB; nothing of them is held twice but in the precision of the fit.
+        rows = sample.mapInArrow(lean(describe), "doc_id long, lang string, x binary").toArrow()
+        if rows.num_rows:
+            lang = np.array(rows["lang"].to_pylist(), object)
+            order = np.lexsort((lang, rows["doc_id"].to_numpy()))
+            x = np.empty((len(order), 1 << LOG2_FEATURES), np.float32)
+            for k, raw in zip(np.argsort(order).tolist(), rows["x"]):
+                x[k] = np.frombuffer(raw.as_buffer(), np.float16)
+            del rows
+            model = Hierarchy.fit(x, lang[order])
+            del x
+            release()
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches):
