@@ -2,8 +2,9 @@
 
 Texts and known licences go through the same canonical form (case, copyright lines, equivalent
 spellings, punctuation, white space), and digests of whole canonical texts are joined by hash. It is
-JVM-side and map-only while Catalyst finds the licence table small enough to broadcast; a larger one
-is shuffled, and the digests' skew is left to adaptive execution.
+JVM-side and map-only while the licence table is small enough to broadcast; a larger one is joined by a
+shuffle of the rows that some licence has, hot digests apart. Short licences are known by their text, with
+usual titles and without; long ones by the digest of their published text alone.
 """
 
 from __future__ import annotations
@@ -11,8 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylake.llm.cluster import hot_join, hot_limit, materialise
+
 #: (regular expression, replacement) in order, on lower-cased text; valid in Java's and RE2's syntax alike.
-COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that is a notice: copyright with its sign, a year, a place for one, or who holds it, or only the sign, or
+#: all rights reserved. Other lines that begin with the word are text.
+COPYRIGHT = (
+    r"(?m)^[^\p{L}\p{N}\n]*(copyright[\s:,]*(\(c\)|©|&copy;|[\[{<(]|[0-9]{4}\b|by\b|$|[^\n]{0,60}\b(authors|contributors|developers|foundation|inc|ltd|llc|gmbh|team|project)\b\.?$)|\(c\)[\s,]*[0-9\p{L}]|©|&copy;|all rights reserved)[^\n]*$"
+)
 SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"\b(sub|non)[-‐‑ ](licen|commercial)", "$1$2"),
     (r"\b(un|re|sub)?licence(s|d|e|es|r|rs)?\b", "$1license$2"),
@@ -30,7 +37,8 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"\bhttps?://", "http "),
 )
 _SPELLED = r"licence|is(e|ed|es|ing|ation|ations)\b|ogue|our(s|ed|able|ite)?\b|gement|fulfil|ll(ed|ing)\b|fence|whilst|wilful|cent\b|owner|https?://|(sub|non)[-‐‑ ]"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÎÏÔÖÙÛÜÑÁÍÓÚ", "abcdefghijklmnopqrstuvwxyzàâäçèéêëîïôöùûüñáíóú"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞĄĆČĎĐĘĚŁŃŇŒŘŚŠŤŮŹŻŽΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩАБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"
+_LOWER = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþąćčďđęěłńňœřśšťůźżžαβγδεζηθικλμνξοπρστυφχψωабвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 
 #: Whole texts of well-known licences and of one-line notices.
 LICENSES: dict[str, str] = {
@@ -66,6 +74,23 @@ Permission is granted to anyone to use this software for any purpose, including
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "MIT-line": "Released under the MIT License.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
@@ -76,6 +101,47 @@ LICENSES["BSD-3-Clause"] = LICENSES["BSD-2-Clause"].replace(
     "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE",
 )
 
+#: Titles that stand before a body in usual files; each is a known text with it and without.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "MIT-0": ("MIT No Attribution", "MIT-0"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD-3-Clause"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License, Version 1.0"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: SHA-256 of the canonical forms of long licences' published texts; "-terms" without what follows the terms.
+DIGESTS: dict[str, str] = {
+    "Apache-2.0": "4580e5390400d27df89edd0617548ac0e66eaa029f6e07cf98aac9cd100b3a37",
+    "Apache-2.0-terms": "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
+    "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-1.0-terms": "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-2.0-terms": "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "GPL-3.0-terms": "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.0-terms": "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-2.1-terms": "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61",
+    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+    "MPL-2.0-terms": "2cec6f733aa157c2d0b72e9669f75ca354f332218fcb5a3a885931f385272a04",
+}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of all forms that are known by their text."""
+    return sorted([*LICENSES.items(), *((k, f"{title}\n\n{LICENSES[k]}") for k, titles in TITLES.items() for title in titles)])
+
 
 def canonical(text: Column) -> Column:
     """The canonical form: lower case, no copyright lines, one spelling, words joined by single spaces."""
@@ -89,23 +155,51 @@ def canonical(text: Column) -> Column:
 
 
 def license_table(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(license_id, text) of known licences."""
-    return spark.createDataFrame(sorted((texts or LICENSES).items()), "license_id string, text string")
+    """(license_id, text, digest) of known licences: a text, or the digest of its canonical form; of ``texts`` alone, if given."""
+    rows = [(k, t, None) for k, t in (sorted(texts.items()) if texts else known_texts())]
+    rows += [] if texts else [(k, None, d) for k, d in sorted(DIGESTS.items())]
+    return spark.createDataFrame(rows, "license_id string, text string, digest string")
 
 
-def license_scan(docs: DataFrame, licenses: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Known digests (some 100 bytes each) up to which they are broadcast.
+FEW_DIGESTS = 200_000
+
+
+def license_scan(docs: DataFrame, licenses: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few: int = FEW_DIGESTS) -> DataFrame:
     """Find the documents that are, as a whole, the text of a known licence.
 
     Returns per row doc_id, digest (SHA-256 of the canonical text; null if nothing but punctuation and
-    copyright lines is left, or the text is null), license_id (null if unknown) and is_license. Of
-    licences with one canonical text the smallest id counts; an empty one matches nothing. Repeated rows
-    and null ids are kept as they are; columns other than the two are not read.
+    copyright notices is left, or the text is null), license_id (null if unknown) and is_license. Of
+    licences with one canonical text the smallest id counts; an empty one matches nothing. Very long texts
+    are digested whole; repeated rows and null ids are kept as they are; an empty table gives no rows, an
+    empty list of licences no licence; columns other than the two, whatever their names, are not read.
+
+    Up to ``few`` digests are broadcast, so no document moves, whatever digest many share. Beyond that
+    only rows whose digest some licence has are joined by a shuffle; which have one is told by digests
+    counted first, so neither nulls nor a text that many rows hold gather in one task.
     """
     digest = lambda text: F.when(text != "", F.sha2(text, 256))
-    known = licenses.select("license_id", canonical(F.col("text")).alias("c")).select("license_id", digest(F.col("c")).alias("digest"))
-    known = known.where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    has = "digest" in licenses.columns
+    known = licenses.select("license_id", canonical(F.col("text")).alias("c"), (F.col("digest") if has else F.lit(None).cast("string")).alias("given"))
+    known = known.select("license_id", F.coalesce("given", digest(F.col("c"))).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
     rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("c")).select("doc_id", digest(F.col("c")).alias("digest"))
-    return rows.join(known, "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+    if known.limit(few + 1).count() <= few:
+        named = rows.join(F.broadcast(known), "digest", "left")
+    else:
+        rows = materialise(rows, "digests")
+        counts = rows.where("digest is not null").groupBy("digest").count()
+        hits = materialise(known.join(counts, "digest"), "hits")
+        n = rows.count()
+        found = hot_join(rows.where("digest is not null"), hits, "digest", "count", n)
+        without = rows.where("digest is null").unionByName(_without(rows.where("digest is not null"), hits, hot_limit(n)))
+        named = found.select("digest", "doc_id", "license_id").unionByName(without.select("digest", "doc_id", F.lit(None).cast("string").alias("license_id")))
+    return named.select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+
+
+def _without(rows: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+    """Rows whose digest isn't among ``hits``: hot ones go by a broadcast of few digests, the others by a shuffle."""
+    hot = hits.where(F.col("count") > limit).select("digest")
+    return rows.join(F.broadcast(hot), "digest", "left_anti").join(hits.where(F.col("count") <= limit).select("digest"), "digest", "left_anti")
 
 
 def oracle() -> str:
@@ -118,11 +212,13 @@ def oracle() -> str:
             sql = f"regexp_replace({sql}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
         return f"trim(regexp_replace({sql}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
-    values = ", ".join(f"('{k}', '{t.replace(chr(39), chr(39) * 2)}')" for k, t in sorted(LICENSES.items()))
+    values = ", ".join(f"('{k}', '{t.replace(chr(39), chr(39) * 2)}')" for k, t in known_texts())
+    digests = ", ".join(f"('{k}', '{d}')" for k, d in sorted(DIGESTS.items()))
     return f"""
 WITH known AS (
   SELECT digest, min(license_id) AS license_id FROM (
-    SELECT license_id, sha256(c) AS digest FROM (SELECT license_id, {form('t')} AS c FROM (VALUES {values}) v(license_id, t)) WHERE c <> '')
+    SELECT license_id, sha256(c) AS digest FROM (SELECT license_id, {form('t')} AS c FROM (VALUES {values}) v(license_id, t)) WHERE c <> ''
+    UNION ALL SELECT license_id, digest FROM (VALUES {digests}) w(license_id, digest))
   GROUP BY digest
 ), rows_ AS (
   SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS digest FROM (SELECT doc_id, {form('text')} AS c FROM documents)
