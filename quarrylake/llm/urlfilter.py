@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rules and their characters up to which the trie is broadcast.
-TRIE_RULES = 500_000
-TRIE_CHARS = 32_000_000
+#: (some kilobyte a rule in every worker).
+TRIE_RULES = 50_000
+TRIE_CHARS = 4_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,7 +56,7 @@ class Trie:
                 ends[part] = (verdict, host + path)
 
     def find(self, host: str, path: str):
-        """(verdict, rule) with most host labels, then the longest path; None if none fits."""
+        """(verdict, rule) of the longest fitting rule, of equally long ones that with most host labels; None if none fits."""
         best, node = None, self.root
         segments = path.split("/")
         for label in reversed(host.split(".")):
@@ -63,7 +64,9 @@ class Trie:
             if node is None:
                 break
             if () in node:
-                best = self._path(node[()], segments) or best
+                found = self._path(node[()], segments)
+                if found and (best is None or len(found[1]) >= len(best[1])):
+                    best = found
         return best
 
     @staticmethod
@@ -110,7 +113,7 @@ def _by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     k = keyed.select(F.col("host").alias("suffix"), F.col("whole").alias("prefix"), "part", "verdict")
     hits = tried.join(k, ["suffix", "prefix"]).where(F.col("path").startswith(F.concat("prefix", "part")))
     rule = F.concat("suffix", "prefix", "part")
-    rank = F.struct(F.size(F.split("suffix", r"\.")), F.length(F.concat("prefix", "part")))
+    rank = F.struct(F.length(rule), F.size(F.split("suffix", r"\.")))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("verdict", rule.alias("rule")), rank).alias("found"))
     return urls.join(best, ["host", "path"], "left")
 
@@ -121,8 +124,9 @@ def url_filter(
     """Judge every url by the longest fitting rule: page_id, host, path, rule, verdict.
 
     ``rules`` has verdict (allow or block), host and path. A rule fits its host and all subdomains of
-    it if the url's path starts with the rule's. Among fitting rules more host labels win, then the
-    longer path; of two equal rules with both verdicts, block. Urls without a fitting rule get rule
+    it if the url's path starts with the rule's. Among fitting rules the longest wins, host and path taken
+    together; of equally long ones that with more host labels; of two equal rules with both verdicts,
+    block. A very long url is judged whole. An empty table gives no rows. Urls without a fitting rule get rule
     null and the verdict ``default``. A null url or one without ``://`` has an empty host and path.
     Ids are passed through, null or repeated; other columns aren't read; rules with a null are void.
     """
