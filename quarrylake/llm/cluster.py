@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -14,17 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (as in tests), a temporary one, set there."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else None
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quarrylake-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+from quarrylake.operators.settle import shared_folder
 
 
 def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -33,7 +22,7 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     The files survive the loss of any executor, unlike cached or locally checkpointed blocks.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrylake/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quarrylake/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.partitionBy(*partition_by).parquet(path)
     back = spark.read.schema(schema).parquet(path)
@@ -185,27 +174,28 @@ def in_bitmap(bits: np.ndarray, log2_bits: int, values: np.ndarray) -> np.ndarra
 DRIVER_EDGES = 200_000
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", driver_edges: int = DRIVER_EDGES) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", driver_edges: int = DRIVER_EDGES, hot_rows: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for the nodes of undirected ``edges`` of longs.
 
     Edges are counted first. At most ``driver_edges`` are united on the driver; beyond that, alternating
     large-star and small-star rounds do it, each an aggregation and a join on the node, so no node's
-    neighbours are gathered anywhere and a star of any size costs one row per edge. Rounds are written
-    to the shared folder; they end when a round changes no edge.
+    neighbours are gathered anywhere and a star of any size costs one row per edge; nodes of very many
+    edges are joined apart. Rounds are written to the shared folder; they end when a round changes no edge.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     e = materialise(e, "edges")
-    if e.count() <= driver_edges:
+    n = e.count()
+    if n <= driver_edges:
         pairs = e.toPandas().to_numpy(np.int64).reshape(-1, 2)
         node, component = _unite(pairs)
         return e.sparkSession.createDataFrame(pd.DataFrame({"node": node, "component": component}), "node long, component long")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count")).select("u", F.least("m", "u").alias("m"), "count")
+        large = hot_join(both.where("v > u"), low, "u", "count", 2 * n, hot_rows).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
         small = (
-            large.join(low, "u")
+            hot_join(large, low, "u", "count", 2 * n, hot_rows)
             .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
             .select("s.u", "s.v")
             .where("u != v")
@@ -214,7 +204,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", driver_edges: int =
         after = materialise(small, "edges")
         stats = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (e, after)]
         discard(e)
-        e = after
+        e, n = after, stats[1][0]
         if stats[0] == stats[1]:
             break
     member = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
