@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -131,8 +132,8 @@ def test_components_both_ways(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
     edges = spark.createDataFrame(pairs, "a long, b long")
-    one, two = (sorted(map(tuple, components(edges, driver_edges=n).collect())) for n in (1000, 0))
-    assert one == two and len(dict(one)) == len(one)
+    one, two, three = (sorted(map(tuple, components(edges, driver_edges=n, hot_rows=hot).collect())) for n, hot in ((1000, None), (0, None), (0, 2)))
+    assert one == two == three and len(dict(one)) == len(one)
     assert all(dict(one)[a] == dict(one)[b] for a, b in pairs if a != b)
 
 
@@ -416,7 +417,7 @@ def test_label_propagation_keeps_groups_and_sizes(spark, hot):
         assert Counter(out[k][0] for k in range(2000, 2900)).most_common(1)[0][1] > 300
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     from quarrylake.llm import topk
 
     rng = np.random.default_rng(0)
@@ -430,6 +431,10 @@ def test_topk(spark):
         scored = sorted((-int(x[q] @ v), k) for k, v in x.items() if k != q and len(v) == len(x[q]))[:5]
         expected += [(q, i + 1, k, -s) for i, (s, k) in enumerate(scored)]
     assert sorted(map(tuple, topk.topk_search(df).collect())) == sorted(expected)
+    # Queries in many broadcasts, blocks that learn bounds from each other.
+    monkeypatch.setattr(topk, "QUERY_BYTES", 300)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 60)
+    assert sorted(map(tuple, topk.topk_search(df).collect())) == sorted(expected)
     assert topk.topk_search(df.limit(0)).count() == 0
 
 
@@ -447,7 +452,7 @@ def test_topk_block_stops_only_on_proof():
             assert best_rows(rows, scores, 5)[0].tolist() == [k for k in order if k != q][:5]
 
 
-URLS = ["http://A.Example.ORG/es/x?y", "https://example.org/es", "http://x.example.org/en/12/3", "http://example.org", "https://foo.com/fr/", "http://foo.com/de/a#b", "http://fr.com", "ftp://user@host.net:80/p", "nothing", "", None, "http://", "http://.org/", "a://b://c.org/", "http://org/", "http://notexample.org/es/q"]
+URLS = ["http://A.Example.ORG/es/x?y", "https://example.org/es", "http://x.example.org/en/12/3", "http://example.org", "https://foo.com/fr/", "http://foo.com/de/a#b", "http://fr.com", "ftp://user@host.net:80/p", "nothing", "", None, "http://", "http://.org/", "a://b://c.org/", "http://org/", "http://notexample.org/es/q", "http://example.org/aaaaaaaaaaaaaaaaaaaa/b", "http://a.b.net/cab", "http://net/" + "c" * 20000]
 
 
 def brute_url(url, rules):
@@ -457,7 +462,7 @@ def brute_url(url, rules):
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = host.translate(LOWER)
-    fits = [(h.count("."), len(p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h + p), h.count("."), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits, default=None)
     return host, path, best[2] if best else None, best[3] if best else "allow"
 
@@ -466,7 +471,8 @@ def test_urls(spark):
     from quarrylake.llm.queries import URL_RULES
     from quarrylake.llm.urlfilter import url_filter
 
-    rules = [*URL_RULES, ("block", "org", "/es/q"), ("block", "x.example.org", "")]
+    # The last three: a short host with a long path against a longer host, and two of equal length.
+    rules = [*URL_RULES, ("block", "org", "/es/q"), ("block", "x.example.org", ""), ("block", "org", "/aaaaaaaaaaaaaaaaaaaa/"), ("allow", "example.org", "/"), ("block", "b.net", "/c"), ("allow", "net", "/cab")]
     pages = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(URLS)] + [(None, URLS[0], "c"), (0, URLS[0], "c")], "page_id long, url string, host string")
     table = spark.createDataFrame([*rules, (None, "a", "b")], "verdict string, host string, path string")
     for most in (100, 0):
@@ -568,15 +574,186 @@ def test_a_table_of_equal_texts_is_packed_full(spark):
 
 
 def test_licenses(spark, docs, rows, nothing):
-    from quarrylake.llm.licenses import LICENSES, license_scan, license_table
+    from quarrylake.llm.licenses import DIGESTS, LICENSES, license_scan, license_table
 
-    mit = LICENSES["MIT"]
+    mit, bsd = LICENSES["MIT"], LICENSES["BSD-3-Clause"]
     changed = "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "sub-license").replace(",", " ,")
-    extra = [(1, changed), (2, mit + " and more"), (3, "Copyright 2020 Me"), (4, LICENSES["Zlib"].replace("acknowledgment", "acknowledgement")), (5, None), (6, "")]
-    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string").withColumn("doc_id", F.col("doc_id") + 5000))
-    got = {r["doc_id"]: r for r in license_scan(table, license_table(spark)).collect()}
-    assert {k for k, r in got.items() if r["is_license"]} == {5001, 5004}
-    assert got[5001]["license_id"] == "MIT" and got[5004]["license_id"] == "Zlib"
-    assert got[5003]["digest"] is None and got[5005]["digest"] is None and got[102]["digest"] is not None
+    wrapped = "\n".join(bsd[k : k + 78] for k in range(0, len(bsd), 78)).replace("THE COPYRIGHT HOLDER", "THE\nCOPYRIGHT HOLDER")
+    extra = {
+        1: changed, 2: mit + " and more", 3: "Copyright 2020 Me", 4: LICENSES["Zlib"].replace("acknowledgment", "acknowledgement"), 5: None, 6: "",
+        7: f"MIT License\n\nCopyright (c) 2021 The Some Authors\n\n{mit}", 8: f"# The MIT License (MIT)\n# Copyright 2021\n{mit}", 9: "BSD 3-Clause License\n\nCopyright (c) 2022, Me\nAll rights reserved.\n\n" + wrapped,
+        10: "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + LICENSES["BSL-1.0"].replace("organization", "organisation"), 11: LICENSES["Unlicense"].replace("https", "http"), 12: "Copyright holders are named elsewhere", 13: "MIT License",
+        14: mit * 400,
+    }
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000 + k, t) for k, t in extra.items()], "doc_id long, text string"))
+    licensed = {5001: "MIT", 5004: "Zlib", 5007: "MIT", 5008: "MIT", 5009: "BSD-3-Clause", 5010: "BSL-1.0", 5011: "Unlicense"}
+    for few in (10**6, 0):
+        got = {r["doc_id"]: r for r in license_scan(table, license_table(spark), few=few).collect()}
+        assert {k: r["license_id"] for k, r in got.items() if r["is_license"]} == licensed
+        assert got[5003]["digest"] is None and got[5005]["digest"] is None and got[102]["digest"] is not None and got[5012]["digest"] is not None
+        assert license_scan(table, license_table(spark), few=few).count() == table.count()
     assert license_scan(nothing, license_table(spark)).count() == 0
     assert license_scan(docs, license_table(spark).limit(0)).where("is_license").count() == 0
+    folder = Path("/usr/share/common-licenses")
+    texts = [("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")] if folder.is_dir() else []
+    full = spark.createDataFrame([(k, (folder / f).read_text()) for k, f in texts], "doc_id string, text string")
+    assert {r["doc_id"]: r["license_id"] for r in license_scan(full, license_table(spark)).collect()} == {k: k for k, _ in texts}
+    assert len(set(DIGESTS.values())) == len(DIGESTS)
+
+
+def test_license_sql_finds_the_same(spark, tmp_path):
+    import duckdb
+
+    from quarrylake.llm.licenses import LICENSES, TITLES, license_scan, license_table
+    from quarrylake.llm.queries import SQL
+
+    texts = [*LICENSES.values(), *(f"{t[0]}\n\nCopyright (C) 1999-2020 X\n\n{LICENSES[k].upper()}" for k, t in TITLES.items()), "copyright holders\nand contributors", "ÅØ ΑΒ ЖЯ", "nothing", "", None]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    theirs = sorted(con.execute(SQL["op1_license_scan"]).fetchall(), key=repr)
+    ours = sorted((tuple(r) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string"), license_table(spark)).collect()), key=repr)
+    assert ours == theirs and sum(r[3] for r in ours) >= 2 * len(TITLES)
+
+
+def brute_bits(mixer, raw):
+    """The mixing model one bit at a time, with Python's numbers: hashes, gates, margins, refinements between blocks."""
+    from quarrylake.llm import mixing as M
+
+    code, mask = mixer.code or M.usual_code(), 2**32 - 1
+    b = [0] * 5 + [max(1, int(M.LOWER[x])) for x in raw] + [0]
+    own, met = np.zeros((12, 4)), np.zeros(12)
+    gradient, spread = np.zeros((12, 4)), np.zeros(12)
+    starts, total, begun = set(M._block_starts(len(raw) + 1).tolist()), 0.0, 5
+    for at in range(5, len(b)):
+        if b[at - 1] == 0 or M.IS_SPACE[b[at - 1]]:
+            begun = at
+        if at - 5 in starts and at > 5:
+            met += spread
+            own += M.RATE * gradient / (met[:, None] * mixer.squares + M.CAUTION)
+            gradient, spread = np.zeros((12, 4)), np.zeros(12)
+        hashes = []
+        for k, order in enumerate(M.ORDERS):
+            h = int(M._MULTIPLIERS[k])
+            for j in range(order, 0, -1):
+                h = (h + int(M._BYTE32[b[at - j]])) * int(M._MULTIPLIERS[k]) & mask
+            hashes.append(h ^ h >> 15)
+        word = sum(int(M.BYTE_VALUE[b[i]]) * pow(int(M.BASE), i - begun, 2**64) for i in range(begun, at)) % 2**64
+        hashes.append(int(M.mix(np.array([word], np.uint64))[0]) >> 32)
+        span = int(code.spans[256 * int(code.context[b[at - 2] << 8 | b[at - 1]]) + b[at]])
+        for entry in range(span >> 6, (span >> 6) + (span & 63)):
+            slots = [((h + int(code.hashes[entry])) * 0x9E3779B1 & mask) >> (32 - n) for h, n in zip(hashes, mixer.log2_slots)]
+            z = np.array([int(t[k]) for t, k in zip(mixer.tables, slots)], float)
+            gate = int(mixer.sure[int(z[2]) & 255]) + int(mixer.word[int(z[3]) & 255])
+            sign = 1 if code.bits[entry] else -1
+            margin = sign * np.clip(np.rint(((mixer.weights[gate] + own[gate]) * z).sum() * 8), -1024, 1024) / 64
+            total += np.log2(1 + np.exp(-margin))
+            error = 1 / (1 + np.exp(margin))
+            gradient[gate] += error * sign * z / 8
+            spread[gate] += error * (1 - error)
+    return total
+
+
+def test_mixing_equals_one_bit_at_a_time():
+    from quarrylake.llm.mixing import LOG2_SLOTS, Code, Mixer, fitted_code
+
+    rng = np.random.default_rng(4)
+    before, after = rng.integers(97, 123, 500) << 8 | rng.integers(97, 123, 500), rng.integers(97, 123, 500)
+    for code in (None, fitted_code(before, after, rng.integers(1, 9, 500))):
+        assert code is None or isinstance(code, Code)
+        mixer = Mixer([rng.integers(-60, 60, 1 << k).astype(np.int8) for k in LOG2_SLOTS], code=code)
+        texts = [b"", b"a", b"Some words, some \xc3\xa9 and\tmore.\n", bytes(rng.integers(97, 103, 300).astype(np.uint8)), b"that again " * 70, b"\x00x"]
+        offsets = np.cumsum([0, *map(len, texts)])
+        got = mixer.bits(mixer.decisions(np.frombuffer(b"".join(texts), np.uint8), offsets))
+        assert np.allclose(got, [brute_bits(mixer, t) for t in texts], rtol=2e-3)
+
+
+def test_words_of_decisions_are_the_tokens():
+    from quarrylake.llm.mixing import Decisions
+    from quarrylake.llm.textcore import LOWER as LOW
+    from quarrylake.llm.textcore import word_hashes
+    from quarrylake.llm.textcore import words as spans
+
+    for texts in (["One two  one", "", " x ", "a" * 700 + " b", "é\tü\n"], ["nul \x00 \x01 a\x00b", "c"]):
+        raw = [t.encode() for t in texts]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        lower = LOW[data]
+        starts, ends, first = spans(lower, offsets)
+        want = sorted(zip(np.repeat(np.arange(len(raw)), np.diff(first)).tolist(), word_hashes(lower, starts, ends).tolist()))
+        for rounds in (False, True):
+            d = Decisions(data, offsets, rounds=rounds)
+            assert sorted(zip(d.word_text.tolist(), d.words.tolist())) == want
+
+
+def test_languages_equal_a_plain_version():
+    from quarrylake.llm.language import Hierarchy, feature_matrix
+
+    rng = random.Random(12)
+    sound = {"en": ["th", "er", "ing", "wh"], "de": ["sch", "ei", "ung", "tz"], "fr": ["eux", "ou", "ai", "que"], "es": ["ción", "ado", "ue", "ez"]}
+    texts, langs = [], []
+    for k in range(120):
+        lang = sorted(sound)[k % 4]
+        texts.append(" ".join("".join(rng.choice(sound[lang]) for _ in range(3)) for _ in range(20)))
+        langs.append(lang)
+    raw = [t.encode() for t in texts]
+    x = feature_matrix(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    model = Hierarchy.fit(x, np.array(langs, object))
+
+    def plain(text):
+        b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()]
+        counts = Counter()
+        for width in (2, 3):
+            for i in range(len(b) - width + 1):
+                h = width * 0x9E3779B1 & 0xFFFFFFFF
+                for c in b[i : i + width]:
+                    h = (h ^ c) * 0x85EBCA6B & 0xFFFFFFFF
+                    h ^= h >> 15
+                counts[h >> 20] += 1
+        norm = math.sqrt(sum(counts.values()))
+        margin = [sum(math.sqrt(c) * w[f] for f, c in counts.items()) / norm + bias for w, bias in zip(model.weights, model.bias)]
+
+        def best(classes):
+            votes = Counter()
+            for (a, z), m in zip(model.pairs, margin):
+                if a in classes and z in classes:
+                    votes[a if m >= 0 else z] += 1
+            return max(classes, key=lambda c: votes[c]) if len(classes) > 1 else classes[0]
+
+        return best(sorted(model.families[best(sorted(model.families))]))
+
+    assert model.predict(x)[0].tolist() == [plain(t) for t in texts]
+    assert np.mean(np.array(langs) == model.predict(x)[0]) > 0.95
+
+
+def test_overlaps_equal_all_diagonals(spark):
+    """Every document against every item on every diagonal: the pairs found are the pairs there are, by length of the item."""
+    from quarrylake.llm.decontaminate import contaminated, overlap
+
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = {k: [rng.choice(vocabulary) for _ in range(n)] for k, n in enumerate((3, 5, 6, 8, 9, 10, 11, 13, 16, 20, 30, 45, 60))}
+    texts = {}
+    for k in range(400):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
+        item = list(rng.choice(list(items.values())))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5])):
+            item[rng.randrange(len(item))] = "changed"
+        cut = item[rng.randint(0, len(item) // 3) :] if rng.random() < 0.3 else item
+        at = rng.randint(0, len(text))
+        texts[k] = text[:at] + cut + text[at:]
+    want = set()
+    for d, text in texts.items():
+        for i, item in items.items():
+            enough = max(1, math.ceil(round(0.8 * len(item), 9)))
+            for diagonal in range(-len(item) + 1, len(text)):
+                lo, hi = max(0, -diagonal), min(len(item), len(text) - diagonal)
+                if hi > lo and overlap(np.array([item[j] == text[j + diagonal] for j in range(lo, hi)]), 12, enough, 2):
+                    want.add((d, i))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()}
+    assert got <= want
+    for i in items:
+        of = {p for p in want if p[1] == i}
+        assert len(got & of) >= 0.9 * len(of), (len(items[i]), len(got & of), len(of))
