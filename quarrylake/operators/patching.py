@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import difflib
 import os
 import tempfile
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from quarrylake.functions.extract import facts_of
+from quarrylake.functions.languages import ADAPTERS
 
 
 def reindent(text: str, indent: str) -> str:
@@ -35,13 +35,10 @@ def patch_source(path: str, language: str, source: str, symbol: str, replacement
     newline = "\r\n" if "\r\n" in source else "\n"
     text = reindent(replacement.replace("\r\n", "\n"), indent).replace("\n", newline)
     after = (raw[:line] + text.encode() + raw[end:]).decode()
-    if language == "python":
-        try:
-            ast.parse(after)
-        except SyntaxError as e:
-            return {"status": f"invalid: line {e.lineno}, column {e.offset}: {e.msg}", "after": None, "diff": None}
-    elif after.count("{") - after.count("}") != source.count("{") - source.count("}"):
-        return {"status": "invalid: unbalanced braces", "after": None, "diff": None}
+    adapter = ADAPTERS[language]
+    faults = adapter.faults(after)
+    if faults and not (language != "python" and adapter.faults(source)):
+        return {"status": f"invalid: line {faults[0]['line']}, column {faults[0]['column']}: {faults[0]['kind']}", "after": None, "diff": None, "faults": faults}
     diff = "\n".join(difflib.unified_diff(source.split("\n"), after.split("\n"), f"a/{path}", f"b/{path}", lineterm=""))
     return {"status": "applied", "after": after, "diff": diff}
 
@@ -51,7 +48,7 @@ def patch(files: DataFrame, edits: DataFrame) -> DataFrame:
 
     def run(frames):
         for pdf in frames:
-            rows = [(r.path, r.symbol, *patch_source(r.path, r.language, r.content, r.symbol, r.replacement).values()) for r in pdf.itertuples(index=False)]
+            rows = [(r.path, r.symbol, *(done[k] for k in ("status", "after", "diff"))) for r in pdf.itertuples(index=False) for done in [patch_source(r.path, r.language, r.content, r.symbol, r.replacement)]]
             yield pd.DataFrame(rows, columns=["path", "symbol", "status", "after", "diff"])
 
     return edits.join(files.select("path", "language", "content"), "path").mapInPandas(run, "path string, symbol string, status string, after string, diff string")

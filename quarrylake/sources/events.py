@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,49 @@ def append_events(events: DataFrame, path: str) -> None:
     events.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA if f.name in events.columns]).write.mode("append").json(path)
 
 
+def append_event(event: dict, path: str) -> bool:
+    """Append one event to a file of JSON lines, folders made as needed; what can't be written is dropped, never raised."""
+    try:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(json.dumps(event, default=str) + "\n")
+    except (OSError, TypeError, ValueError):
+        return False
+    return True
+
+
+def merge_json(path: str, keys: tuple[str, ...], value) -> str:
+    """Set ``value`` under nested ``keys`` of a JSON file and keep all else: 'made', 'changed' or 'same'.
+
+    A file that isn't a JSON object is kept beside it as .bak before a new one is written.
+    """
+    status, whole = "changed", {}
+    try:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        whole = json.loads(text) if text.strip() else {}
+        if not isinstance(whole, dict):
+            raise ValueError
+    except FileNotFoundError:
+        status = "made"
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    except ValueError:
+        os.replace(path, path + ".bak")
+        whole = {}
+    at = whole
+    for k in keys[:-1]:
+        if not isinstance(at.get(k), dict):
+            at[k] = {}
+        at = at[k]
+    if at.get(keys[-1]) == value and status == "changed" and keys[-1] in at:
+        return "same"
+    at[keys[-1]] = value
+    from quarrylake.operators.patching import replace_file
+
+    replace_file(path, json.dumps(whole, indent=2) + "\n")
+    return status
+
+
 def clear_events(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], SCHEMA).write.mode("overwrite").json(path)
 

@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.errors import InvalidPatch, NoRoute, QuarryError, TimedOut, UnknownSymbol, UnsupportedLanguage, snippet
+from quarrylake.errors import InvalidPatch, NoRoute, QuarryError, TimedOut, UnknownSymbol, UnsupportedLanguage
 from quarrylake.functions.extract import extract, facts_of
 from quarrylake.functions.frameworks import Registry
 from quarrylake.operators import patching, resolve, rollup
@@ -121,10 +121,7 @@ class Workspace:
         source = read_text(at)
         done = patching.patch_source(path, language_name(path), source, symbol, text)
         if done["status"] != "applied":
-            where = re.search(r"line (\d+), column (\d+): (.*)", done["status"])
-            line, column, kind = (int(where[1]), int(where[2]), where[3]) if where else (1, 1, done["status"].partition(": ")[2])
-            rows = text.split("\n")
-            raise InvalidPatch(path, [{"line": line, "column": column, "kind": kind, "snippet": snippet(rows[0].encode(), 0, 50)}])
+            raise InvalidPatch(path, done.get("faults") or [{"line": 1, "column": 1, "kind": done["status"], "snippet": ""}])
         if not dry:
             patching.replace_file(at, done["after"])
             self.clear()

@@ -201,3 +201,59 @@ def test_slices_budget_strips_blocks(spark):
 
     body = "/* one\n two\n three */\n# note\ncode\n\"\"\"doc\"\"\"\n/* one line */\nmore // kept"
     assert spark.range(1).select(T.strip_comments(F.lit(body)).alias("x")).first()["x"] == "code\nmore // kept"
+
+
+def test_adapters():
+    from quarrylake.functions.languages import for_language, for_path
+
+    ts = for_path("web/cart.ts")
+    source = FILES["web/cart.ts"]
+    assert ts.names(source)[:3] == ["Cart", "Cart.constructor", "Cart.fill"] and ts.locate(source, "Cart.fill")["kind"] == "method" and ts.locate(source, "nope") is None
+    assert [s["name"] for s in ts.inside(source, "method", ts.locate(source, "Note"))] == ["size"] and "load" in ts.calls(source, "Cart.fill") and "Store" in ts.references(source, "Cart")
+    py = for_language("Python")
+    assert py.locate(FILES["shop/models.py"], "empty")["container"] == "Order" and py.imports(FILES["shop/orders.py"])[0][0] == "Order"
+    assert for_language("rust").names("impl A {\n    fn b() {}\n}\n") == ["A::b"]
+    assert [f["line"] for f in ts.faults("function a() {\n  b(];\n}")] == [2] and ts.faults("class A { }") == [] and ts.faults("a {")[0]["kind"] == "{ is never closed"
+    assert py.faults("x = (1\n")[0]["line"] == 1 and py.faults("x = 1\n") == []
+    with pytest.raises(errors.UnsupportedLanguage):
+        for_path("a.txt")
+
+
+def test_rpc(w):
+    import io
+
+    from quarrylake import rpc
+
+    lines = ['{"jsonrpc":"2.0","id":1,"method":"initialize"}', '{"jsonrpc":"2.0","method":"notifications/x"}', "", "{bad", '{"jsonrpc":"2.0","id":2,"method":"tools/list"}', '{"jsonrpc":"2.0","id":3,"method":"nope"}',
+             '{"jsonrpc":"2.0","id":4,"method":"tools/call","params":{"name":"tests","arguments":{"path":"shop/none.py","symbol":"x"},"timeout":60}}']
+    out = io.StringIO()
+    assert rpc.serve(w, io.StringIO("\n".join(lines) + "\n"), out) == 5
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [g.get("id") for g in got] == [1, None, 2, 3, 4] and got[1]["error"]["code"] == -32700 and got[3]["error"]["code"] == -32601
+    assert got[4]["result"]["isError"] and "unreadable" in got[4]["result"]["content"][0]["text"] and len(got[2]["result"]["tools"]) >= 8
+
+
+def test_command_line(spark, root, tmp_path, capsys, monkeypatch):
+    from quarrylake.__main__ import arguments, main, parser
+
+    commands = {"slice": ["a.py:x"], "diff": [], "stats": [], "overview": [], "patch": ["a.py:x"], "tests": ["a.py:x"], "route": ["get", "/x"], "metrics": [], "clear": [], "list": [], "serve": []}
+    for c, rest in commands.items():
+        assert parser().parse_args([c, *rest]).command == c
+    assert arguments(parser().parse_args(["slice", "C:\\a.py:x,y", "--budget", "5"])) == {"depth": 1, "budget": 5, "unified": False, "path": "C:\\a.py", "symbols": "x,y"}
+    assert main(["list"]) == 0 and "overview" in capsys.readouterr().out
+    out = tmp_path / "o.md"
+    assert main(["--root", root, "--out", str(out), "slice", "shop/models.py:Order"], spark) == 0 and out.read_text().startswith("# shop/models.py:Order")
+    assert main(["--root", root, "slice", "shop/models.py:Nope"], spark) == 1 and "not_found" in capsys.readouterr().err
+    assert main(["--root", root, "metrics", "--path", str(tmp_path / "none")], spark) == 0
+
+
+def test_sinks(tmp_path):
+    at = tmp_path / "deep" / "log.jsonl"
+    assert events.append_event({"a": 1}, str(at)) and events.append_event({"b": 2}, str(at)) and len(at.read_text().splitlines()) == 2
+    assert not events.append_event({"a": 1}, "/proc/none/x")
+    c = tmp_path / "c.json"
+    assert events.merge_json(str(c), ("servers", "own"), {"x": 1}) == "made" and events.merge_json(str(c), ("servers", "own"), {"x": 1}) == "same"
+    c.write_text('{"keep": [1], "servers": {"other": 2}}')
+    assert events.merge_json(str(c), ("servers", "own"), 3) == "changed" and json.loads(c.read_text()) == {"keep": [1], "servers": {"other": 2, "own": 3}}
+    c.write_text("{broken")
+    assert events.merge_json(str(c), ("a",), 1) == "changed" and json.loads(c.read_text()) == {"a": 1} and (tmp_path / "c.json.bak").read_text() == "{broken"
