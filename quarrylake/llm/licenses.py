@@ -18,7 +18,7 @@ from quarrylake.llm.cluster import hot_join, hot_limit, materialise
 #: A line that is a notice: copyright with its sign, a year, a place for one, or who holds it, or only the sign, or
 #: all rights reserved. Other lines that begin with the word are text.
 COPYRIGHT = (
-    r"(?m)^[^\p{L}\p{N}\n]*(copyright[\s:,]*(\(c\)|©|&copy;|[\[{<(]|[0-9]{4}\b|by\b|$|[^\n]{0,60}\b(authors|contributors|developers|foundation|inc|ltd|llc|gmbh|team|project)\b\.?$)|\(c\)[\s,]*[0-9\p{L}]|©|&copy;|all rights reserved)[^\n]*$"
+    r"(?m)^[^\p{L}\p{N}\n]*(copyright[\s:,]*(\(c\)|©|&copy;|[\[{<(]|[0-9]{4}\b|by\b|$|the\b[^\n]{1,60}\b(authors|contributors|developers|foundation|project|team)\b\.?$|[^\n]{1,60}\b(inc|ltd|llc|gmbh)\b\.?$)|\(c\)[\s,]*[0-9\p{L}]|©|&copy;|all rights reserved)[^\n]*$"
 )
 SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"\b(sub|non)[-‐‑ ](licen|commercial)", "$1$2"),
