@@ -578,7 +578,7 @@ def test_licenses(spark, docs, rows, nothing):
 
     mit, bsd = LICENSES["MIT"], LICENSES["BSD-3-Clause"]
     changed = "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "sub-license").replace(",", " ,")
-    wrapped = "\n".join(bsd[k : k + 78] for k in range(0, len(bsd), 78)).replace("THE COPYRIGHT HOLDER", "THE\nCOPYRIGHT HOLDER")
+    wrapped = bsd.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE\nCOPYRIGHT HOLDERS AND CONTRIBUTORS\n").replace("the copyright holder nor", "the\ncopyright holder nor")
     extra = {
         1: changed, 2: mit + " and more", 3: "Copyright 2020 Me", 4: LICENSES["Zlib"].replace("acknowledgment", "acknowledgement"), 5: None, 6: "",
         7: f"MIT License\n\nCopyright (c) 2021 The Some Authors\n\n{mit}", 8: f"# The MIT License (MIT)\n# Copyright 2021\n{mit}", 9: "BSD 3-Clause License\n\nCopyright (c) 2022, Me\nAll rights reserved.\n\n" + wrapped,
