@@ -112,11 +112,25 @@ class _Lines:
         return self.bytes[line] + len(self.source[self.starts[line] : at].encode())
 
 
+def comments_above(source: str, at: int) -> list[str]:
+    """The lines of the comment block directly above a place, in order; none if another line is between.
+
+    Lines are looked at from below, so what comes before the block isn't.
+    """
+    found: list[str] = []
+    end = source.rfind("\n", 0, at)
+    while end >= 0:
+        begin = source.rfind("\n", 0, end) + 1
+        row = source[begin:end]
+        if not re.match(r"\s*(//|\*|/\*|#(?!\[))", row):
+            break
+        found.append(row.strip())
+        end = begin - 1
+    return found[::-1]
+
+
 def _doc_above(source: str, at: int) -> str | None:
-    rows = source[:at].rstrip(" \t").split("\n")[:-1] if at else []
-    found = []
-    while rows and re.match(r"\s*(//|\*|/\*|#(?!\[))", rows[-1]):
-        found.append(rows.pop().strip())
+    found = comments_above(source, at)[::-1]
     text = [re.sub(r"^(///?!?|/\*\*?|\*/?|#)\s?|\*/$", "", x).strip() for x in reversed(found)]
     return next((x for x in text if x), None)
 

@@ -28,3 +28,13 @@ def windowed(events: DataFrame, ts: str, length: str, slide: str | None = None,
 def sessions(events: DataFrame, ts: str, gap: str, *keys: str, late: str = "10 minutes") -> DataFrame:
     """Counts by session: runs of a key's events less than ``gap`` apart."""
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), "n")
+
+
+def write_log(events: DataFrame, path: str, checkpoint: str):
+    """A stream's events appended to the log's folder as JSON lines, each batch once; returns the query's writer.
+
+    The file sink keeps a list of committed batches, so a batch that is run again after a failure isn't
+    written twice, and readers of the folder see whole batches only.
+    """
+    fields = [F.col(f.name).cast(f.dataType) for f in SCHEMA if f.name in events.columns]
+    return events.select(*fields).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

@@ -22,7 +22,7 @@ from quarrylake.operators import patching, resolve, rollup
 from quarrylake.plans import context, frameworks, render, slices
 from quarrylake.sources import events as telemetry
 from quarrylake.sources import patches
-from quarrylake.sources.files import ScanOptions, language_name, read_text, scan_files
+from quarrylake.sources.files import ScanOptions, Walker, language_name, read_text, scan_files
 
 TIMEOUT_S = 10.0
 
@@ -109,6 +109,26 @@ class Workspace:
         known = self.files.where("language is not null")
         return context.deep_stats(self.facts, known) if deep else rollup.file_stats(known, "content", "language", "path")
 
+    def quick_stats(self, seconds: float) -> tuple[DataFrame, bool]:
+        """File statistics of as many of the root's folders, in order of name, as the time allows; whether these are all.
+
+        The folder that is being read when the time is up is finished; at least one is read.
+        """
+        began, out, whole = time.monotonic(), None, True
+        for name in sorted(os.listdir(self.root)):
+            if out is not None and time.monotonic() - began > seconds:
+                whole = False
+                break
+            walker = Walker(self.root, self.options)
+            is_dir = os.path.isdir(os.path.join(self.root, name))
+            if walker.excluded(name, is_dir, walker.first + walker.rules_of("")):
+                continue
+            part = scan_files(self.spark, os.path.join(self.root, name), self.options).where("language is not null")
+            part = part.withColumn("path", F.concat(F.lit(name + "/"), F.col("path")) if is_dir else F.col("path"))
+            stats = resolve.settle(rollup.file_stats(part, "content", "language", "path"))
+            out = stats if out is None else out.unionByName(stats)
+        return (out if out is not None else rollup.file_stats(self.files, "content", "language", "path")), whole
+
     def tests(self, path: str, symbol: str, **options) -> DataFrame:
         self._check(path, [symbol])
         queries = self.spark.createDataFrame([(0, path, symbol)], "query long, path string, symbol string")

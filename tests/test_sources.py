@@ -95,3 +95,12 @@ def test_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == 2
+
+
+def test_stream_sink_appends_each_batch_once(spark, tmp_path):
+    source, sink = log(tmp_path), str(tmp_path / "sink")
+    for _ in range(2):  # the second run finds nothing new
+        q = telemetry.write_log(telemetry.read_stream(spark, source), sink, str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert events.read_events(spark, sink).count() == 4
+    assert sorted(r["raw_tokens"] for r in events.read_events(spark, sink).collect()) == sorted(e[1] for e in EVENTS)

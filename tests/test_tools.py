@@ -130,6 +130,13 @@ def test_stats(w):
     assert "files " in render.stats_text(w.stats(), "path").first()["text"]
 
 
+def test_stats_within_a_time(w):
+    some, whole = w.quick_stats(0)
+    assert not whole and 0 < some.count() < w.stats().count()
+    every, whole = w.quick_stats(600)
+    assert whole and {r["path"]: r["raw_tokens"] for r in every.collect()} == {r["path"]: r["raw_tokens"] for r in w.stats().collect()}
+
+
 def test_test_context(w):
     py = w.tests("shop/orders.py", "total").first()
     assert py["runner"] == "pytest" and "MagicMock" in py["mocks"] and "def test_total" in py["template"] and [f["fixture"] for f in py["fixtures"]] == ["shop/tests/test_orders.py"]
