@@ -64,6 +64,13 @@ def longest_ancestor(paths: DataFrame, roots: DataFrame, path: str, root: str) -
     return paths.join(best, path, "left")
 
 
+def alike(name: Column, query: Column, distance: int = 2) -> tuple[Column, Column]:
+    """Whether a name is like a query, and how: 0 equal, 1 one a prefix of the other, 2 few edits apart."""
+    q, n = F.lower(query), F.lower(name)
+    like = (q == n) | n.startswith(q) | q.startswith(n) | F.levenshtein(q, n, distance).between(0, distance)
+    return like, F.when(q == n, 0).when(n.startswith(q) | q.startswith(n), 1).otherwise(2)
+
+
 #: Queries up to which each name is compared with all of them.
 FEW_QUERIES = 1000
 
@@ -75,9 +82,7 @@ def suggest(names: DataFrame, queries: DataFrame, name: str, query: str, distanc
     a pair must share: a whole string that is the other's prefix, or what is left of both when at most
     ``distance`` characters are taken out.
     """
-    q, n = F.lower(F.col(query)), F.lower(F.col(name))
-    like = (q == n) | n.startswith(q) | q.startswith(n) | F.levenshtein(q, n, distance).between(0, distance)
-    tier = F.when(q == n, 0).when(n.startswith(q) | q.startswith(n), 1).otherwise(2)
+    like, tier = alike(F.col(name), F.col(query), distance)
     if queries.limit(few + 1).count() <= few:
         return names.join(F.broadcast(queries), like).withColumn("tier", tier)
     keyed = lambda df, c, whole, prefix: df.select(F.col(c).alias(f"_{c}")).where(F.col(c).isNotNull()).distinct().select(f"_{c}", F.explode(_keys(F.lower(f"_{c}"), distance, whole, prefix)).alias("_key"))

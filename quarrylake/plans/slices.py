@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
 from quarrylake.operators import resolve
-from quarrylake.operators.lookup import first_match, suggest
+from quarrylake.operators.lookup import alike, first_match
 from quarrylake.operators.settle import settle
 
 
@@ -29,7 +29,8 @@ def not_found(facts: DataFrame, queries: DataFrame) -> DataFrame:
     """Queries without a symbol, with the nearest name of the file, if one is near."""
     missing = queries.join(find_symbols(facts, queries).select("query"), "query", "left_anti")
     names = facts.where("fact = 'symbol'").select(F.col("path").alias("p"), "name", "ord")
-    near = suggest(names, missing, "name", "symbol").where(F.col("p") == F.col("path"))
+    like, tier = alike(F.col("name"), F.col("symbol"))
+    near = names.join(missing, F.col("p") == F.col("path")).where(like).withColumn("tier", tier)
     best = first_match(near, ["query"], ["tier", "ord"]).select("query", F.col("name").alias("suggestion"))
     return missing.join(best, "query", "left")
 

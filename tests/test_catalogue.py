@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarrylake.plans import catalogue_more
+from quarrylake.plans import catalogue_more, catalogue_sources  # noqa: F401
 from quarrylake.plans.catalogue import QUERIES, SQL
 
 #: What SQL can't express: each has a test of its own below.
