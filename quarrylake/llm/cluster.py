@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylake.llm.textcore import mix
 from quarrylake.operators.settle import shared_folder
 
 
@@ -75,6 +77,22 @@ def lean(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+_released = [0.0]
+
+
+def lean_group(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``f``, for applyInPandas, whose worker gives freed memory back twice a second or so."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = f(pdf)
+        if time.monotonic() - _released[0] > 0.5:
+            release()
+            _released[0] = time.monotonic()
+        return out
+
+    return run
+
+
 def held_out_by(key: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; false for a null id."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(modulus) == F.lit(remainder), F.lit(False))
@@ -91,7 +109,7 @@ def tree_add(parts: DataFrame, keys: list[str], schema: str, add, tasks: int, fa
     a key's rows never meet in one task by more than ``fan_in``, however many tasks there were.
     """
     while tasks > fan_in:
-        parts = materialise(parts.withColumn("task", F.floor(F.col("task") / fan_in).cast("int")).groupBy(*keys, "task").applyInPandas(add, schema), "sums")
+        parts = materialise(parts.withColumn("task", F.floor(F.col("task") / fan_in).cast("int")).groupBy(*keys, "task").applyInPandas(lean_group(add), schema), "sums")
         tasks = -(-tasks // fan_in)
     return parts
 
@@ -127,8 +145,8 @@ def task_number() -> int:
     return context.partitionId() if context else 0
 
 
-def bitmap(df: DataFrame, column: str, log2_bits: int) -> np.ndarray:
-    """A bit for each value's top ``log2_bits`` bits (a long that is already well mixed), as packed uint8.
+def bitmap(df: DataFrame, column: str, log2_bits: int, mixed: bool = True) -> np.ndarray:
+    """A bit for each value's top ``log2_bits`` bits, as packed uint8; values that aren't ``mixed`` yet are mixed first.
 
     Each task sends at most the whole bitmap, 2**log2_bits / 8 bytes, cut in blocks that are OR-ed in
     parallel; the driver gets that many bytes, whatever the number of rows.
@@ -141,6 +159,7 @@ def bitmap(df: DataFrame, column: str, log2_bits: int) -> np.ndarray:
         seen = False
         for b in batches:
             values = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            values = values if mixed else mix(values)
             bits[(values >> np.uint64(64 - log2_bits)).astype(np.int64)] = True
             seen = seen or len(values) > 0
         if seen:
@@ -157,7 +176,7 @@ def bitmap(df: DataFrame, column: str, log2_bits: int) -> np.ndarray:
             total |= np.frombuffer(x, np.uint8)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [total.tobytes()]})
 
-    parts = df.select(F.col(column).cast("long")).mapInArrow(mark, "block int, bits binary")
+    parts = df.select(F.col(column).cast("long")).mapInArrow(lean(mark), "block int, bits binary")
     out = np.zeros((blocks, width), np.uint8)
     for r in parts.groupBy("block").applyInPandas(unite, "block int, bits binary").collect():
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)

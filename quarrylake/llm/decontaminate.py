@@ -214,8 +214,9 @@ def contaminated(
     # One word, repeated, has as many diagonals as words: they are verified in stretches of bounded size.
     pairs = hits.groupBy("doc_id", "item_id", F.floor(F.col("diagonal") / DIAGONALS).alias("stretch")).agg(F.collect_list("diagonal").alias("diagonals"))
 
-    chosen = spark.sparkContext.broadcast(bitmap(hits.select("doc_id").distinct().mapInArrow(_mixed, "h long"), "h", LOG2_DOCS))
-    texts = source.mapInArrow(lean(_doc_tokens(chosen)), "doc_id long, doc binary")
+    chosen = spark.sparkContext.broadcast(bitmap(hits, "doc_id", LOG2_DOCS, mixed=False))
+    # Written, so that a task never has two Python workers, one for tokens and one for the comparison.
+    texts = materialise(source.mapInArrow(lean(_doc_tokens(chosen)), "doc_id long, doc binary"), "tokens")
     verified = (
         pairs.join(texts, "doc_id")
         .join(items, "item_id")
@@ -230,9 +231,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """The documents that overlap with no test item, with all their columns."""
     found = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(found, id_col, "left_anti")
-
-
-def _mixed(batches):
-    for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(mix(ids)), pa.int64())], names=["h"])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.cluster import bitmap, bounded_batches, components, discard, in_bitmap, lean, materialise
+from quarrylake.llm.cluster import bitmap, bounded_batches, components, discard, in_bitmap, lean, lean_group, materialise
 from quarrylake.llm.textcore import chunks, mix, shingle_sets, signed
 
 #: Incidences in a block, about; incidences and documents that a task gathers before it sends them.
@@ -356,7 +356,7 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     # About a sixth of the bytes are shingles; more or fewer blocks only change their size.
     text_bytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(max(1, text_bytes // 6 // BLOCK_ROWS))
-    first = materialise(source.mapInArrow(lean(_incidences(width, blocks)), _PARTS).groupBy("key").applyInPandas(_answer, _PARTS), "incidences")
+    first = materialise(source.mapInArrow(lean(_incidences(width, blocks)), _PARTS).groupBy("key").applyInPandas(lean_group(_answer), _PARTS), "incidences")
     rows = materialise(first.where("kind = 'rows'").select("payload").mapInArrow(_row_table, "doc_id long, n long, print long"), "rows")
     classes = materialise(
         rows.where("n > 0 and doc_id is not null").groupBy("print", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes"
@@ -364,9 +364,9 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
 
     few = max(1, blocks // 8)
     second = materialise(
-        first.where("kind in ('shared', 'local', 'sizes')").groupBy("flush").applyInPandas(_prefixes(percent, few), "block int, payload binary, a long, b long"), "prefixes"
+        first.where("kind in ('shared', 'local', 'sizes')").groupBy("flush").applyInPandas(lean_group(_prefixes(percent, few)), "block int, payload binary, a long, b long"), "prefixes"
     )
-    across = second.where("block >= 0").select("block", "payload").groupBy("block").applyInPandas(_chain_block(percent), "a long, b long")
+    across = second.where("block >= 0").select("block", "payload").groupBy("block").applyInPandas(lean_group(_chain_block(percent)), "a long, b long")
     chains = second.where("block < 0").select("a", "b").unionByName(across).distinct()
     by_print = classes.select("print", "rep")
     chains = (
@@ -396,12 +396,12 @@ def ngram_jaccard(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     tasks = int(max(1, min(100_000, pairs.count() // TASK_PAIRS)))
     visits = pairs.select("component", "tile_a", "tile_b", F.explode(F.array_distinct(F.array("tile_a", "tile_b"))).alias("tile"), F.when(F.col("tile_a") == F.col("tile_b"), 1).otherwise(2).alias("tiles"))
 
-    bits = spark.sparkContext.broadcast(bitmap(member.select(F.col("rep")).mapInArrow(_mixed, "h long"), "h", LOG2_BITS))
+    bits = spark.sparkContext.broadcast(bitmap(member, "rep", LOG2_BITS, mixed=False))
     sets = source.where("doc_id is not null").mapInArrow(lean(_sets_of(width, bits, LOG2_BITS)), "doc_id long, grams binary").withColumnRenamed("doc_id", "rep")
     sized = member.join(sets, "rep").where(F.octet_length("grams") == F.col("n") * 8)
     tiles = sized.join(visits, ["component", "tile"]).select("component", "tile_a", "tile_b", "tile", "tiles", "rep", "members", "grams")
     tiles = tiles.repartition(tasks, "component", "tile_a", "tile_b")
-    links = materialise(tiles.groupBy("component", "tile_a", "tile_b").applyInPandas(_tile(percent), "rep long, links long, low long"), "links")
+    links = materialise(tiles.groupBy("component", "tile_a", "tile_b").applyInPandas(lean_group(_tile(percent)), "rep long, links long, low long"), "links")
     degrees = links.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(links.select("rep", "low"), "rep", "low")
 
@@ -425,9 +425,3 @@ def _running(group: str, order: str):
     from pyspark.sql import Window
 
     return Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def _mixed(batches):
-    for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(mix(ids)), pa.int64())], names=["h"])
