@@ -186,13 +186,17 @@ def _score(weights, log2_buckets: int):
 
 
 def _try_choices(tables, totals: np.ndarray, fold_of, log2_buckets: int):
-    """By learning document and choice: its segments' scores, by the counts of the other folds, and a histogram of token scores."""
+    """By learning document and choice: its segments' scores, by the counts of the other folds.
+
+    A histogram of the token scores of clean documents is with the last document of each lot of them.
+    """
 
     def scan(batches):
         counts = tables.value
         ids, folds = fold_of.value
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "choice", "n_tokens", "sums", "histogram")}
+            out: dict[str, list] = {k: [] for k in ("toxic", "choice", "n_tokens", "sums", "histogram")}
+            labels = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             doc_ids = batch.column(0).to_numpy().astype(np.int64)
             fold = folds[np.searchsorted(ids, doc_ids)]
             for lo, _, data, offsets in chunks(batch.column(1)):
@@ -207,15 +211,19 @@ def _try_choices(tables, totals: np.ndarray, fold_of, log2_buckets: int):
                     whole = (totals[0], totals[[1 + 2 * f for f in rest]].sum(), totals[[2 + 2 * f for f in rest]].sum())
                     for c, (prior, errors) in enumerate(CHOICES):
                         weight = log_odds(each[0], toxic, clean, whole, prior, errors) if whole[1] and whole[2] else np.zeros(len(distinct))
+                        histogram = np.zeros(161, np.int64)
                         for d in np.flatnonzero(of == k).tolist():
                             scores = _strongest(weight[at[:, first[d] : first[d + 1]]])
-                            out["doc_id"].append(int(doc_ids[lo + d]))
+                            out["toxic"].append(bool(labels[lo + d]))
                             out["choice"].append(c)
                             out["n_tokens"].append(len(scores))
                             out["sums"].append([s for _, _, s in segments(scores)])
-                            out["histogram"].append(np.bincount(np.clip(np.rint(scores * 4) + 80, 0, 160).astype(np.int64), minlength=161).astype(np.int32).tobytes())
+                            out["histogram"].append(None)
+                            if not labels[lo + d]:
+                                histogram += np.bincount(np.clip(np.rint(scores * 4) + 80, 0, 160).astype(np.int64), minlength=161)
+                        out["histogram"][-1] = histogram.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc_id"], pa.int64()), pa.array(out["choice"], pa.int32()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["sums"], pa.list_(pa.float64())), pa.array(out["histogram"], pa.binary())],
+                [pa.array(out["toxic"], pa.bool_()), pa.array(out["choice"], pa.int32()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["sums"], pa.list_(pa.float64())), pa.array(out["histogram"], pa.binary())],
                 names=list(out),
             )
 
@@ -229,27 +237,29 @@ class Calibration:
         self.rate, self.ln_k, self.slope, self.offset = rate, ln_k, slope, offset
 
     @staticmethod
-    def fit(sample: pd.DataFrame) -> tuple[Calibration, float]:
+    def fit(sample: pa.Table) -> tuple[Calibration, float]:
         """From labelled rows (toxic, n_tokens, sums, histogram) that the counts didn't see; and their labels' mean log loss."""
-        y = sample["toxic"].to_numpy(float)
+        y = sample["toxic"].to_numpy().astype(float)
         clean = y == 0
-        histogram = np.frombuffer(b"".join(sample["histogram"][clean]), np.int32).reshape(-1, 161).sum(axis=0)
+        histogram = np.zeros(161)
+        for h in sample["histogram"].drop_null():
+            histogram += np.frombuffer(h.as_buffer(), np.int64)
         p, s = histogram / max(1.0, histogram.sum()), (np.arange(161) - 80) / 4
         lo, hi = 1e-3, 20.0
         for _ in range(60):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * s, 600))).sum() < 1 else (lo, mid)
         rate = min(max(lo, 0.05), 5.0)
-        size = np.array([len(x) for x in sample["sums"]], np.int64)
-        flat = np.concatenate([np.zeros(0), *sample["sums"]])
-        doc = np.repeat(np.arange(len(sample)), size)
-        top = np.zeros(len(sample))
+        lists = sample["sums"].combine_chunks()
+        size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        doc = np.repeat(np.arange(len(y)), size)
+        top = np.zeros(len(y))
         np.maximum.at(top, doc, flat)
-        n = np.maximum(sample["n_tokens"].to_numpy(float), 1)
+        n = np.maximum(sample["n_tokens"].to_numpy().astype(float), 1)
         # The mean of a Gumbel law lies Euler's constant over its mode.
         ln_k = float(np.mean(rate * top[clean] - np.log(n[clean])) - 0.5772) if clean.any() else 0.0
         out = Calibration(rate, ln_k, 1.0, -3.0)
-        x = np.bincount(doc, out.surprise(flat, n[doc]), minlength=len(sample))
+        x = np.bincount(doc, out.surprise(flat, n[doc]), minlength=len(y))
         if 0 < y.sum() < len(y):
             # Newton steps of a lightly penalised logistic regression on one variable.
             scale = max(1.0, float(np.quantile(x, 0.95)))
@@ -309,18 +319,16 @@ def toxic_passages(
 
     # The labelled texts alone, by a join with at most MOST_CALIBRATING ids.
     by_hash = np.argsort(hashed >> np.uint64(8), kind="stable")[:MOST_CALIBRATING]
-    chosen = spark.createDataFrame(pd.DataFrame({"doc_id": np.sort(ids[by_hash])}), "doc_id long")
+    chosen = spark.createDataFrame(pd.DataFrame({"doc_id": ids[by_hash], "toxic": toxic[by_hash]}), "doc_id long, toxic boolean")
     shared = spark.sparkContext.broadcast(tables)
     fold_of = spark.sparkContext.broadcast((ids, folds))
-    tried = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").mapInArrow(
-        lean(_try_choices(shared, totals, fold_of, LOG2_BUCKETS)), "doc_id long, choice int, n_tokens long, sums array<double>, histogram binary"
+    tried = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(
+        lean(_try_choices(shared, totals, fold_of, LOG2_BUCKETS)), "toxic boolean, choice int, n_tokens long, sums array<double>, histogram binary"
     )
     tried = materialise(tried, "choices")
     best = None
     for k in range(len(CHOICES)):
-        sample = tried.where(F.col("choice") == k).select("doc_id", "n_tokens", "sums", "histogram").toPandas()  # about MOST_CALIBRATING rows
-        sample = sample.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-        sample["toxic"] = toxic[np.searchsorted(ids, sample["doc_id"].to_numpy(np.int64))] if len(sample) else []
+        sample = tried.where(F.col("choice") == k).select("toxic", "n_tokens", "sums", "histogram").toArrow()  # about MOST_CALIBRATING rows
         fitted, loss = Calibration.fit(sample)
         if best is None or loss < best[0]:
             best = (loss, CHOICES[k], fitted)
