@@ -122,7 +122,7 @@ _TEST_MARK = r"^\s*(#\[test\]|def test_|it\(|test\(|func Test)"
 
 def test_snippet(text: Column, marker: str = _TEST_MARK, whole: int = 25, shown: int = 20) -> Column:
     """Of a test file: all of up to 25 lines; else 20 from the first line that begins a test; else the first 20."""
-    rows = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
+    rows = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
     at = F.array_position(F.transform(rows, lambda x: x.rlike(marker)), True)
     return F.array_join(F.when(F.size(rows) <= whole, rows).otherwise(F.slice(rows, F.greatest(at, F.lit(1)).cast("int"), shown)), "\n")
 

@@ -12,6 +12,16 @@ LANGUAGE_WEIGHTS = {"rust": 1.05, "go": 1.02, "typescript": 1.0, "javascript": 1
 PRICES = {"economy": 0.5, "standard": 3.0, "frontier": 15.0}
 
 
+#: A word boundary between ASCII letters, digits and underscores and anything else.
+_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def in_ascii(pattern: str) -> str:
+    r"""A pattern whose ``\s`` and ``\b``, outside of brackets, are those of RE2: Java's ``\b`` knows letters beyond ASCII
+    (before version 19) and its ``\s`` the vertical tab."""
+    return pattern.replace(r"\s", r"[\t\n\f\r ]").replace(r"\b", _EDGE)
+
+
 def count_tokens(text: Column) -> Column:
     """Pre-tokens of a text; 0 for null or empty."""
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN_RE)), F.lit(0)).cast("long")

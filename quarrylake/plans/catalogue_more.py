@@ -104,7 +104,7 @@ _MARK = r"^\s*(The|Die|La|El|It|Un)\b"
 p AS (SELECT doc_id, rows, greatest(coalesce(list_position(list_transform(rows, lambda x: regexp_matches(x, '{_MARK}')), true), 0), 1) AS first FROM r)
 SELECT doc_id, md5(array_to_string(CASE WHEN len(rows) <= 6 THEN rows ELSE rows[first:first + 3] END, chr(10))) AS digest FROM p""")
 def marked_snippets(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(show.test_snippet(F.col("text"), _MARK, 6, 4).cast("binary")).alias("digest"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(show.test_snippet(F.col("text"), T.in_ascii(_MARK), 6, 4).cast("binary")).alias("digest"))
 
 
 @_query(rf"""WITH l AS (SELECT doc_id, i, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),

@@ -48,6 +48,32 @@ def test_query_equals_oracle(spark, duck, name):
     assert _rows(ours) == _rows(theirs)
 
 
+#: Lines that begin with a mark as RE2 reads it or don't: letters beyond ASCII end a word, a vertical tab is no white space.
+_ODD = ["Laé ist", "Elñ", "Unter", "Un", "Un_", "Die9", "\vThe x", "\t\f\rThe x", "\u00a0The x", "\u2003The", "The\u00a0x", "It\u0301", "xThe", "Dieа", "", " "]
+_BODY = "".join(f"row {k}\n" for k in range(4))
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """A table of texts around such lines, and one of ends of lines."""
+    texts = [f"{_BODY}{x}\n{_BODY}{y}\n{_BODY}" for x in _ODD for y in ("The end", "none")]
+    texts += [_BODY + x for x in ("\n\n", "\n\r", "\n\r\n", "\n\u0085", "\n\u2028", "a\nThe")] + ["", "\n", "\n\n", None]
+    at = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def _over(odd, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{odd}/documents.parquet/*.parquet'")
+    return con.sql(SQL[name]).df()
+
+
+def test_marked_snippets_of_odd_texts(spark, odd):
+    ours, theirs = QUERIES["marked_snippets"](spark, odd).toPandas(), _over(odd, "marked_snippets")
+    assert _rows(ours) == _rows(theirs)
+
+
 def test_token_counts_are_the_tokenizers(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
