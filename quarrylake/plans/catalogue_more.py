@@ -112,7 +112,7 @@ f AS (SELECT *, min(CASE WHEN regexp_matches(line, '{_MARK}') THEN i END) OVER (
 SELECT doc_id, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM f WHERE i >= first AND i < first + 3 GROUP BY doc_id""")
 def after_first_mark(spark, sf_dir):
     lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    near = context.after_marker(lines, "doc_id", "i", F.col("line").rlike(_MARK), 3)
+    near = context.after_marker(lines, "doc_id", "i", F.col("line").rlike(T.in_ascii(_MARK)), 3)
     return near.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 

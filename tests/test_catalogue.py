@@ -74,6 +74,11 @@ def test_marked_snippets_of_odd_texts(spark, odd):
     assert _rows(ours) == _rows(theirs)
 
 
+def test_lines_after_the_first_mark_of_odd_texts(spark, odd):
+    ours, theirs = QUERIES["after_first_mark"](spark, odd).toPandas(), _over(odd, "after_first_mark")
+    assert _rows(ours) == _rows(theirs)
+
+
 def test_token_counts_are_the_tokenizers(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
