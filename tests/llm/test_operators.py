@@ -296,6 +296,80 @@ def test_scores(spark, docs, rows, nothing):
     assert score_texts(nothing).count() == 0
 
 
+def test_every_training_text_is_counted(spark):
+    """A held-out copy of any training text is cheap, whichever that text is."""
+    from quarrylake.llm.mixing import score_texts
+
+    rng = random.Random(21)
+    ids = {held: [k for k in range(2000) if (zlib.crc32(str(k).encode()) % 5 == 1) == held][:120] for held in (False, True)}
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)) for _ in range(120)]
+    rows = [(k, t) for held in (False, True) for k, t in zip(ids[held], texts)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    bits = sorted(r["bits_per_byte"] for r in got if r["held_out"])
+    assert len(bits) == 120 and bits[-1] < 2 * bits[60]
+
+
+def test_code_is_that_of_all_training_texts(spark):
+    from quarrylake.llm.mixing import Code, _seen, code_of, fitted_code
+
+    rng = random.Random(22)
+    texts = ["".join(rng.choice("abc \x00é") for _ in range(rng.randrange(80))) for _ in range(300)] + ["", None]
+    n_texts, n_bytes, code = _seen(spark.createDataFrame([(t,) for t in texts], "text string"))
+    counts = Counter()
+    for t in texts:
+        b = [0, 0, *(max(x, 1) for x in (t or "").lower().encode()), 0]
+        counts.update((b[k] << 8 | b[k + 1], b[k + 2]) for k in range(len(b) - 2))
+    whole = fitted_code(*(np.array(x) for x in zip(*((*k, v) for k, v in sorted(counts.items())))))
+    assert (n_texts, n_bytes) == (302, sum(len((t or "").encode()) for t in texts))
+    assert (code.spans == whole.spans).all() and (code.bits == whole.bits).all() and (code.context == whole.context).all()
+    # Counts of any size leave ways that a span can hold.
+    fibonacci = [1, 1]
+    while len(fibonacci) < 80:
+        fibonacci.append(sum(fibonacci[-2:]))
+    last = np.zeros((256, 256), np.int64)
+    last[97, :80] = np.array(fibonacci)
+    steep = code_of(last // 1000, np.array([97 << 8 | 97]), last[97:98] // 1000)
+    assert isinstance(steep, Code) and (steep.spans & 63).reshape(-1, 256)[:, :80].min() > 0
+    assert len(steep.bits) == int((steep.spans & 63).sum())
+
+
+def test_weights_suit_all_training_texts_told_by_counts_that_lack_the_decision():
+    import pandas as pd
+    import zstandard
+
+    from quarrylake.llm import mixing as M
+
+    raw = [b"some words that come again", b"", b"words again, and some \xc3\xa9", b"that that that " * 9]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    d = M.Decisions(data, offsets, rounds=False)
+    logit = lambda zeros, ones: max(-127, min(127, round(8 * math.log((ones + 0.15) / (zeros + 0.15)))))
+    counts, lacking = [], []
+    for slots, log2 in zip(d.slots, M.LOG2_SLOTS):
+        n = np.zeros((1 << log2, 2), np.int32)
+        np.add.at(n, (slots, d.bits), 1)
+        counts.append(n)
+        parts = [M._add(pd.DataFrame({"kind": ["bits"], "key": [0], "task": [0], "payload": [zstandard.compress(n.tobytes())]}))["lacking"][0]]
+        lacking.append(np.frombuffer(parts[0], np.int8))
+    weights = np.array(M.START, np.float32)
+    sums = M.slopes(lacking, weights, None, data, offsets)
+    want = np.zeros((12, 25))
+    for at, bit in enumerate(d.bits.tolist()):
+        z = []
+        for n, slots in zip(counts, d.slots):
+            pair = n[slots[at]].tolist()
+            pair[bit] -= 1
+            z.append(logit(*pair))
+        gate, f, sign = int(M._SURE[z[2] & 255]) + int(M._WORD[z[3] & 255]), np.array(z) / 8, 2 * bit - 1
+        error = 1 / (1 + math.exp(max(-16, min(16, sign * float(weights[gate] @ f)))))
+        want[gate] += [*(error * (1 - error) * np.outer(f, f)).ravel(), *(error * sign * f), *(f * f), 1]
+    assert np.allclose(sums, want, rtol=1e-3, atol=1e-2)
+    gains = []
+    for _ in range(8):
+        weights, gain = M.stepped(weights, M.slopes(lacking, weights.astype(np.float32), None, data, offsets))
+        gains.append(gain)
+    assert gains[0] > 0 and gains[-1] < 1e-6
+
+
 def test_bits_are_a_probability():
     """Over all second bytes after a text, the probabilities of what may follow add up to 1."""
     from quarrylake.llm.mixing import LOG2_SLOTS, Decisions, Mixer
