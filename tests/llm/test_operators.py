@@ -348,8 +348,8 @@ def test_weights_suit_all_training_texts_told_by_counts_that_lack_the_decision()
         n = np.zeros((1 << log2, 2), np.int32)
         np.add.at(n, (slots, d.bits), 1)
         counts.append(n)
-        parts = [M._add(pd.DataFrame({"kind": ["bits"], "key": [0], "task": [0], "payload": [zstandard.compress(n.tobytes())]}))["lacking"][0]]
-        lacking.append(np.frombuffer(parts[0], np.int8))
+        part = M._add(pd.DataFrame({"kind": ["bits"], "key": [0], "task": [0], "payload": [zstandard.compress(n.tobytes())]}))["lacking"][0]
+        lacking.append(np.frombuffer(zstandard.decompress(part), np.int8))
     weights = np.array(M.START, np.float32)
     sums = M.slopes(lacking, weights, None, data, offsets)
     want = np.zeros((12, 25))
