@@ -370,6 +370,36 @@ def test_weights_suit_all_training_texts_told_by_counts_that_lack_the_decision()
     assert gains[0] > 0 and gains[-1] < 1e-6
 
 
+def test_equal_bytes_in_equal_contexts_are_decided_once_and_count_as_often_as_they_come(monkeypatch):
+    """Counts from kinds of bytes are those of all decisions, in less than half the look-ups; scores in pieces are those in one."""
+    from quarrylake.llm import mixing as M
+
+    rng = random.Random(23)
+    some = ["again", "wörter", "a", "that\x00", "Lines\n", "x" * 40]
+    raw = [" ".join(rng.choice(some) for _ in range(rng.randrange(300))).encode() for _ in range(40)] + [b"", b"\x00", b"again"]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    before = data[:-2].astype(np.int64) << 8 | data[1:-1]
+    code = M.fitted_code(before, data[2:].astype(np.int64), np.ones(len(before), np.int64))
+    whole = M.Decisions(data, offsets, code=code, rounds=False)
+    tables = [rng_table.integers(-60, 60, 1 << k).astype(np.int8) for k in M.LOG2_SLOTS for rng_table in [np.random.default_rng(k)]]
+    mixer = M.Mixer(tables, code=code)
+    bits = mixer.bits(mixer.decisions(data, offsets))
+    for at_once, chunk in ((1 << 14, 1 << 16), (7, 50)):
+        monkeypatch.setattr(M, "_AT_ONCE", at_once)
+        monkeypatch.setattr(M, "_CHUNK", chunk)
+        texts = M.Texts(data, offsets)
+        at, times = texts.kinds()
+        assert len(texts.near) == len(data) + len(raw) == times.sum() and len(at) < len(texts.near) / 2
+        got, made = [Counter() for _ in M.LOG2_SLOTS], 0
+        for lo, _, byte, bit, slots in M._decisions_of(texts, at, M.LOG2_SLOTS, code):
+            made += len(bit)
+            for c, s in zip(got, slots):
+                for k, b, n in zip(s.tolist(), bit.tolist(), times[lo : lo + at_once][byte].tolist()):
+                    c[k, b] += n
+        assert got == [Counter(zip(s.tolist(), whole.bits.tolist())) for s in whole.slots] and made < len(whole.bits) / 2
+        assert (mixer.bits(M.Told(texts, mixer)) == bits).all()
+
+
 def test_bits_are_a_probability():
     """Over all second bytes after a text, the probabilities of what may follow add up to 1."""
     from quarrylake.llm.mixing import LOG2_SLOTS, Decisions, Mixer
