@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.functions.extract import extract
+from quarrylake.functions.extract import FACTS, extract
 from quarrylake.operators import resolve
 from quarrylake.operators.settle import settle
+from quarrylake.operators.spread import spread
 from quarrylake.plans import frameworks, slices
 from quarrylake.plans.catalogue import _query, _t
 
@@ -30,16 +31,18 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = of(region, _lines("types/region", rk, ".ts"), _lines("export interface Region", rk, " {\n  name: string;\n}\n"))
     rows = F.array_sort(F.collect_list(F.struct("n_nationkey", _lines("export * from './nation", n, "';\n").alias("line"))))
     barrel = of(nation.agg(F.array_join(F.transform(rows, lambda x: x["line"]), "").alias("text")), F.lit("types/index.ts"), F.col("text"))
+    # Before contents are spelled, so only keys are shuffled; readers of the files then have tasks of a size.
     customers = of(
-        customer, _lines("shop/customer", c, ".ts"),
+        spread(customer.select("c_custkey", "c_nationkey")), _lines("shop/customer", c, ".ts"),
         _lines("import { Nation", k, " } from '../types/index';\n\n/** Customer ", c, ". */\nexport class Customer", c, " {\n  home(x: Nation", k, "): Nation", k, " { return this.find(x); }\n  find(x: Nation", k, "): Nation", k, " { return pick", c, "(x); }\n}\nfunction pick", c, "(x: Nation", k, ") { return x; }\n"),
     )
     out = nations.unionByName(regions).unionByName(barrel).unionByName(customers)
     return out.select("path", "language", F.octet_length("content").cast("long").alias("size"), "content")
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(extract(source_files(spark, sf_dir)))
+def _facts(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """The files' facts, or those of these kinds."""
+    return settle(extract(source_files(spark, sf_dir), kinds or FACTS))
 
 
 def _links(spark: SparkSession, sf_dir: str, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +62,7 @@ _ALL = f"""symbols(path, container, name, kind, start_line, end_line, doc) AS (
 
 @_query(f"WITH {_ALL} SELECT * FROM symbols")
 def source_symbols(spark, sf_dir):
-    return _facts(spark, sf_dir).where("fact = 'symbol'").select("path", "container", "name", "kind", "start_line", "end_line", "doc")
+    return _facts(spark, sf_dir, "symbol").where("fact = 'symbol'").select("path", "container", "name", "kind", "start_line", "end_line", "doc")
 
 
 @_query(f"""SELECT {_CUSTOMER} AS path, s.symbol, 'Nation' || c_nationkey AS name FROM customer, LATERAL (VALUES ('Customer' || c_custkey), ('home'), ('find'), ('pick' || c_custkey)) s(symbol)
