@@ -73,14 +73,19 @@ def resolve_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     """
     named = facts.where("fact in ('import', 'reexport')").select("path", "language", "fact", "ord", "name", "imported", "specifier", F.coalesce("level", F.lit(0)).alias("level"))
 
-    def spread(frames):
+    # What a specifier may mean depends on its file's folder alone, so it is tried once for all files of a folder.
+    key = ["folder", "of", "specifier", "level"]
+    named = named.withColumn("folder", F.regexp_replace("path", "[^/]*$", "")).withColumn("of", F.coalesce("language", F.lit("")))
+
+    def candidates(frames):
         for pdf in frames:
-            rows = [(*r, k, c) for r in pdf.itertuples(index=False) for k, c in enumerate(candidate_paths(r.path, r.language, r.specifier, r.level))]
-            yield pd.DataFrame(rows, columns=[*pdf.columns, "try", "target"])
+            rows = [(*r, k, c) for r in pdf.itertuples(index=False) for k, c in enumerate(candidate_paths(f"{r.folder}_", r.of, r.specifier, r.level))]
+            yield pd.DataFrame(rows, columns=[*key, "try", "target"])
 
-    tried = named.mapInPandas(spread, "path string, language string, fact string, ord long, name string, imported string, specifier string, level int, try int, target string")
+    tried = named.select(*key).distinct().mapInPandas(candidates, "folder string, of string, specifier string, level int, try int, target string")
     hits = tried.join(files.select(F.col("path").alias("target")), "target")
-    best = first_per_key(hits.select("path", "fact", "ord", "try", "target", F.col("name").alias("local"), "imported"), ["path", "fact", "ord"], F.col("try")).drop("try")
+    meant = settle(first_per_key(hits, key, F.col("try")).drop("try"))
+    best = first_per_key(named.join(meant, key).select("path", "fact", "ord", "target", F.col("name").alias("local"), "imported"), ["path", "fact", "ord"], F.col("target"))
     folders = files.where("language = 'go'").select(F.col("path").alias("target"), F.regexp_replace("path", "/?[^/]*$", "").alias("folder"))
     wanted = named.where("language = 'go' and fact = 'import'").select("path", "fact", "ord", "specifier", F.col("name").alias("local"), "imported")
     modules = files.where(F.col("path").rlike(r"(^|/)go\.mod$")).select(F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("module"), F.regexp_replace("path", "/?go\\.mod$", "").alias("base")).where("module != ''")
@@ -99,21 +104,23 @@ def resolve_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
 def follow_reexports(imports: DataFrame, symbols: DataFrame, depth: int = 5) -> DataFrame:
     """(path, local, target, name): imports followed through re-exports, with renames, to the declaring file.
 
-    Visited (start, file, name) states are kept, so cyclic ``export *`` chains end.
+    Visited (start, file, name) states are kept, where a start is a file and a name asked of it, so cyclic ``export *`` chains end.
     """
     links = imports.where("fact = 'reexport'").select(F.col("path").alias("via"), F.col("local").alias("exported"), F.col("imported").alias("original"), F.col("target").alias("next"))
-    state = imports.where("fact = 'import'").select("path", "local", "target", F.coalesce("imported", "local").alias("name"), F.lit(0).alias("hops"))
+    wanted = imports.where("fact = 'import'").select("path", "local", F.col("target").alias("first"), F.coalesce("imported", "local").alias("asked"))
+    # A name of a file leads where it leads whoever imports it, so it is followed once for all.
+    state = settle(wanted.select("first", "asked", F.col("first").alias("target"), F.col("asked").alias("name"), F.lit(0).alias("hops")).distinct())
     everything = state
     for hop in range(1, depth + 1):
         step = state.join(links, (state["target"] == links["via"]) & (links["exported"].isNull() | (links["exported"] == state["name"])))
-        step = step.select("path", "local", F.col("next").alias("target"), F.coalesce("original", "name").alias("name"), F.lit(hop).alias("hops")).distinct()
-        state = settle(step.join(everything, ["path", "local", "target", "name"], "left_anti"))
+        step = step.select("first", "asked", F.col("next").alias("target"), F.coalesce("original", "name").alias("name"), F.lit(hop).alias("hops")).distinct()
+        state = settle(step.join(everything, ["first", "asked", "target", "name"], "left_anti"))
         if state.isEmpty():
             break
         everything = everything.unionByName(state)
     declared = symbols.where("container IS NULL").select(F.col("path").alias("target"), "name").distinct()
-    found = everything.join(declared, ["target", "name"])
-    return settle(first_per_key(found.select("path", "local", "target", "name", "hops"), ["path", "local"], F.struct("hops", "target", "name")).drop("hops"))
+    found = settle(first_per_key(everything.join(declared, ["target", "name"]), ["first", "asked"], F.struct("hops", "target", "name")))
+    return settle(first_per_key(wanted.join(found, ["first", "asked"]).select("path", "local", "target", "name", "hops"), ["path", "local"], F.struct("hops", "target", "name")).drop("hops"))
 
 
 def declarations(facts: DataFrame, names: DataFrame, links: DataFrame) -> DataFrame:

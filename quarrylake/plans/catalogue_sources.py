@@ -45,9 +45,9 @@ def _facts(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     return settle(extract(source_files(spark, sf_dir), kinds or FACTS))
 
 
-def _links(spark: SparkSession, sf_dir: str, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _links(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
     imports = resolve.resolve_imports(facts, source_files(spark, sf_dir))
-    return imports, resolve.follow_reexports(imports, facts.where("fact = 'symbol'"))
+    return resolve.follow_reexports(imports, facts.where("fact = 'symbol'"))
 
 
 _CUSTOMER = "'shop/customer' || c_custkey || '.ts'"
@@ -91,14 +91,14 @@ def source_imports(spark, sf_dir):
 UNION ALL SELECT 'types/nation' || n_nationkey || '.ts', 'import', 'types/region' || n_regionkey || '.ts' FROM nation
 UNION ALL SELECT 'types/index.ts', 'reexport', 'types/nation' || n_nationkey || '.ts' FROM nation""")
 def imports_to_files(spark, sf_dir):
-    imports, _ = _links(spark, sf_dir, _facts(spark, sf_dir))
-    return imports.select("path", "fact", "target")
+    facts = _facts(spark, sf_dir, "import", "reexport")
+    return resolve.resolve_imports(facts, source_files(spark, sf_dir)).select("path", "fact", "target")
 
 
 @_query(f"""SELECT {_CUSTOMER} AS path, 'Nation' || c_nationkey AS local, 'types/nation' || c_nationkey || '.ts' AS target, 'Nation' || c_nationkey AS name FROM customer
 UNION ALL SELECT 'types/nation' || n_nationkey || '.ts', 'Region' || n_regionkey, 'types/region' || n_regionkey || '.ts', 'Region' || n_regionkey FROM nation""")
 def imports_through_barrels(spark, sf_dir):
-    return _links(spark, sf_dir, _facts(spark, sf_dir))[1].select("path", "local", "target", "name")
+    return _links(spark, sf_dir, _facts(spark, sf_dir, "symbol", "import", "reexport")).select("path", "local", "target", "name")
 
 
 def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,16 +109,16 @@ def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT c_custkey AS query, 'Nation' || c_nationkey AS name, 0 AS level, 'types/nation' || c_nationkey || '.ts' AS target FROM customer
 UNION ALL SELECT c_custkey, 'Region' || n_regionkey, 1, 'types/region' || n_regionkey || '.ts' FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def types_of_methods(spark, sf_dir):
-    f = _facts(spark, sf_dir)
+    f = _facts(spark, sf_dir, "symbol", "ref", "import", "reexport")
     seeds = settle(slices.find_symbols(f, _homes(spark, sf_dir)).select("query", "path", "symbol_ord"))
-    return resolve.type_closure(f, _links(spark, sf_dir, f)[1], seeds, 1).select("query", "name", "level", "target")
+    return resolve.type_closure(f, _links(spark, sf_dir, f), seeds, 1).select("query", "name", "level", "target")
 
 
 @_query("""SELECT c_custkey AS query, 'this' AS receiver, 'find' AS name, 'find(x: Nation' || c_nationkey || '): Nation' || c_nationkey AS signature FROM customer""")
 def calls_of_methods(spark, sf_dir):
     f = _facts(spark, sf_dir)
     seeds = settle(slices.find_symbols(f, _homes(spark, sf_dir)).select("query", "path", "symbol_ord"))
-    return resolve.call_stubs(f, _links(spark, sf_dir, f)[1], seeds).select("query", "receiver", "name", "signature")
+    return resolve.call_stubs(f, _links(spark, sf_dir, f), seeds).select("query", "receiver", "name", "signature")
 
 
 @_query("""SELECT c_custkey AS query, 'shop/customer' || c_custkey || '.ts' AS path, 'method' AS kind, 'Nation' || c_nationkey || ',Region' || n_regionkey AS types, 'find' AS calls, 8 AS raw_lines

@@ -31,6 +31,28 @@ def test_source_files_are_dealt_out_to_tasks(spark, shop):
     assert max(sizes) <= 12_000
 
 
+def test_specifiers_and_names_are_followed_once_for_all_importers(spark, monkeypatch):
+    nations, importers = 20, 60
+    files = [("types/index.ts", "".join(f"export * from './n{k}';\n" for k in range(nations)))]
+    files += [(f"types/n{k}.ts", f"export interface N{k} {{\n  a: string;\n}}\n") for k in range(nations)]
+    files += [(f"shop/c{k}.ts", f"import {{ N{k % 2} }} from '../types/index';\n") for k in range(importers)]
+    files = spark.createDataFrame([(p, "typescript", t) for p, t in files], "path string, language string, content string").cache()
+    settle, sizes = resolve.settle, []
+
+    def counted(df):
+        out = settle(df)
+        sizes.append(out.count())
+        return out
+
+    facts = settle(extract(files))
+    monkeypatch.setattr(resolve, "settle", counted)
+    imports = resolve.resolve_imports(facts, files)
+    assert {(r["path"], r["target"]) for r in imports.collect()} == {(f"shop/c{k}.ts", "types/index.ts") for k in range(importers)} | {("types/index.ts", f"types/n{k}.ts") for k in range(nations)}
+    links = resolve.follow_reexports(imports, facts.where("fact = 'symbol'"))
+    assert {tuple(r) for r in links.select("path", "local", "target", "name").collect()} == {(f"shop/c{k}.ts", f"N{k % 2}", f"types/n{k % 2}.ts", f"N{k % 2}") for k in range(importers)}
+    assert max(sizes) == importers + nations  # not importers times nations
+
+
 def test_facts_of_some_kinds_are_those_of_all(spark):
     text = "import { A } from './a';\nexport class B {\n  a: A;\n  go(x: A): A { return this.find(x); }\n}\nexport * from './c';\n"
     files = spark.createDataFrame([("b.ts", "typescript", text), ("e.ts", "typescript", ""), ("n.ts", None, text), ("x.py", "python", "def f(a: B):\n    return g(a)\n")], "path string, language string, content string")
