@@ -37,6 +37,17 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, hi
     return p.join(i, "_bucket").where(F.col(at).between(F.col(low), F.col(high))).drop("_bucket")
 
 
+def interval_sums(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
+    """Intervals that hold points with their number ``n`` and the sum of their places ``total``.
+
+    Points are counted by place and equal intervals joined once, so the pairs are at most the distinct
+    intervals times the places in one, however many points there are.
+    """
+    places = points.groupBy(at).agg(F.count("*").alias("_n"))
+    hits = interval_join(places, intervals.select(low, high).distinct(), at, low, high, width)
+    return intervals.join(hits.groupBy(low, high).agg(F.sum("_n").alias("n"), F.sum(F.col(at) * F.col("_n")).alias("total")), [low, high])
+
+
 def next_after(df: DataFrame, key: str, order: list[str], is_target: Column, value: str) -> Column:
     """Forward as-of: the next target row's ``value`` after each row, within the key.
 

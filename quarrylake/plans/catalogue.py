@@ -224,7 +224,7 @@ def interval_join(spark, sf_dir):
     low = F.floor("s_acctbal").cast("long")
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", low.alias("low"), (low + 150).alias("high"))
     c = _t(spark, sf_dir, "customer").select("c_custkey", F.floor("c_acctbal").cast("long").alias("at"))
-    return lookup.interval_join(c, s, "at", "low", "high", 200).groupBy("s_suppkey").agg(F.count("*").alias("customers"), F.sum("at").alias("total"))
+    return lookup.interval_sums(c, s, "at", "low", "high", 200).groupBy("s_suppkey").agg(F.sum("n").alias("customers"), F.sum("total").alias("total"))
 
 
 @_query("""SELECT event_id, next_purchase FROM (

@@ -60,3 +60,25 @@ def test_facts_of_some_kinds_are_those_of_all(spark):
     assert {r[0] for r in every} == {"b.ts", "x.py"} and {r[2] for r in every} == {"symbol", "ref", "call", "field", "import", "reexport"}
     for kinds in (("symbol",), ("import", "reexport"), ("symbol", "call"), ("ref", "field")):
         assert {tuple(r) for r in extract(files, kinds).collect()} == {r for r in every if r[2] in kinds}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _same(spark, name, at, tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS FROM '{at}/{t}.parquet'")
+    out = catalogue.QUERIES[name](spark, at)
+    theirs = con.execute(f"SELECT {', '.join(out.columns)} FROM ({catalogue.SQL[name]})").fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(theirs) and theirs
+    return out
+
+
+def test_points_are_counted_by_place_before_the_interval_join(spark, shop):
+    plan = _plan(_same(spark, "interval_join", shop, ("customer", "supplier")))
+    assert "Aggregate" in plan[plan.rindex("Join") :]
+    points = spark.createDataFrame([(x,) for x in (1, 1, 5, 9, -4, 10)], "at long")
+    intervals = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", -4, 10), ("d", 6, 8), ("e", None, 5)], "k string, low long, high long")
+    assert {r["k"]: (r["n"], r["total"]) for r in lookup.interval_sums(points, intervals, "at", "low", "high", 3).collect()} == {"a": (3, 7), "b": (3, 7), "c": (6, 22)}
