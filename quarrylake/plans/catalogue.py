@@ -79,7 +79,7 @@ t AS (SELECT doc_id, coalesce(weight, 1e0) AS weight, {_TOKENS.format('text')} A
 SELECT doc_id, raw_tokens, {_ESTIMATE.format('raw_tokens', 'weight')} AS sliced_tokens FROM t""")
 def estimate_sliced(spark, sf_dir):
     weights = spark.createDataFrame([("en", 1.0), ("de", 1.05), ("fr", 1.02), ("es", 0.95)], "lang string, weight double")
-    d = _t(spark, sf_dir, "documents").join(weights, "lang", "left").select("doc_id", T.count_tokens(F.col("text")).alias("raw_tokens"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    d = _t(spark, sf_dir, "documents").join(F.broadcast(weights), "lang", "left").select("doc_id", T.count_tokens(F.col("text")).alias("raw_tokens"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
     return d.select("doc_id", "raw_tokens", T.estimate_sliced(F.col("raw_tokens"), F.col("weight")).alias("sliced_tokens"))
 
 

@@ -82,3 +82,20 @@ def test_points_are_counted_by_place_before_the_interval_join(spark, shop):
     points = spark.createDataFrame([(x,) for x in (1, 1, 5, 9, -4, 10)], "at long")
     intervals = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", -4, 10), ("d", 6, 8), ("e", None, 5)], "k string, low long, high long")
     assert {r["k"]: (r["n"], r["total"]) for r in lookup.interval_sums(points, intervals, "at", "low", "high", 3).collect()} == {"a": (3, 7), "b": (3, 7), "c": (6, 22)}
+
+
+@pytest.fixture(scope="module")
+def words(spark, tmp_path_factory):
+    """Documents whose ids repeat or are null."""
+    at = str(tmp_path_factory.mktemp("words"))
+    rows = [(k, "Six six the end", "en") for k in range(6)] + [(k, "five", "de") for k in range(5)] + [(None, "five eins six", None), (None, "five", "xx"), (1, "Six neu neu", "en"), (90, None, "en"), (91, "", "fr")]
+    rows += [(100 + k % 3, "drei", "es") for k in range(9)] + [(200 + k // 2, "neu alt", "en") for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{at}/d")
+    duckdb.connect().execute(f"COPY (FROM '{at}/d/*.parquet') TO '{at}/documents.parquet' (FORMAT parquet)")
+    return at
+
+
+def test_texts_are_not_shuffled_for_their_weights(spark, words):
+    out = catalogue.QUERIES["estimate_sliced"](spark, words)
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 37
