@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrylake.functions import text as T
 from quarrylake.operators import budget, lookup, rollup
 from quarrylake.operators.closure import bounded_closure
+from quarrylake.operators.settle import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -178,10 +179,17 @@ _STOP = ["the", "and", "of", "to", "is", "in", "der", "die", "und", "de", "la",
 @_query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents)
 SELECT word, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM w WHERE word NOT IN ({', '.join(repr(x) for x in _STOP)}) GROUP BY word HAVING count(DISTINCT doc_id) > 5""")
 def builtin_anti_join(spark, sf_dir):
-    stop = spark.createDataFrame([(x,) for x in _STOP], "word string")
-    # One row per document and word before the shuffle by word, so the distinct count is a plain count.
-    w = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    return w.join(stop, "word", "left_anti").groupBy("word", "doc_id").count().groupBy("word").agg(F.sum("count").alias("uses"), F.count("*").alias("docs")).where("docs > 5")
+    stop = F.broadcast(spark.createDataFrame([(x,) for x in _STOP], "word string"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    # A row whose id no other has is a document: its words are told apart within it, and a task holds sums by word, not by word and document.
+    repeated = settle(d.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    once = d.join(repeated, "doc_id", "left_anti").select(F.col("doc_id").isNotNull().cast("int").alias("known"), words.alias("words"))
+    # Its words all count as uses, and the distinct ones as documents.
+    halves = F.array(F.struct("words", F.lit(1).alias("uses"), F.lit(0).alias("docs")), F.struct(F.array_distinct("words").alias("words"), F.lit(0).alias("uses"), F.col("known").alias("docs")))
+    once = once.select(F.explode(halves).alias("h")).select("h.*").select(F.explode("words").alias("word"), "uses", "docs")
+    again = d.join(repeated, "doc_id", "left_semi").select("doc_id", F.explode(words).alias("word")).groupBy("word", "doc_id").agg(F.count("*").alias("uses"), F.lit(1).alias("docs")).drop("doc_id")
+    return once.unionByName(again).join(stop, "word", "left_anti").groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs")).where("docs > 5")
 
 
 @_query(r"""SELECT page_id, i AS ord, m[i] AS tag FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<(h1|h2|a|p)[ >]', 1) AS m FROM pages))""")

@@ -95,6 +95,11 @@ def words(spark, tmp_path_factory):
     return at
 
 
+def test_words_of_documents_whose_ids_repeat_or_are_null(spark, words):
+    out = _same(spark, "builtin_anti_join", words, ("documents",))
+    assert {r["word"]: (r["uses"], r["docs"]) for r in out.collect()} == {"six": (14, 6), "end": (6, 6), "neu": (14, 7), "alt": (12, 6)}
+
+
 def test_texts_are_not_shuffled_for_their_weights(spark, words):
     out = catalogue.QUERIES["estimate_sliced"](spark, words)
     assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
