@@ -151,7 +151,7 @@ def misspelt_symbols(spark, sf_dir):
     c = F.col("c_custkey")
     wrong = F.when(c % 3 == 0, _lines("Custmer", c)).when(c % 3 == 1, F.lit("fnd")).otherwise(F.lit("zzzzzz"))
     q = _t(spark, sf_dir, "customer").select(c.alias("query"), _lines("shop/customer", c, ".ts").alias("path"), wrong.alias("symbol"))
-    return slices.not_found(_facts(spark, sf_dir), q).select("query", "suggestion")
+    return slices.not_found(_facts(spark, sf_dir, "symbol"), q).select("query", "suggestion")
 
 
 def _framework_files(spark: SparkSession, sf_dir: str) -> DataFrame:
