@@ -141,7 +141,7 @@ def symbols_of_changed_lines(spark, sf_dir):
   UNION ALL SELECT 'types/index.ts', count(*) FROM nation)
 SELECT f.path, CAST(f.lines AS BIGINT) AS lines, coalesce(string_agg(s.kind || ' ' || s.name, ',' ORDER BY start_line), '') AS symbols FROM files f LEFT JOIN symbols s ON s.path = f.path AND s.container IS NULL GROUP BY f.path, f.lines""")
 def overview_of_files(spark, sf_dir):
-    o = slices.overview(_facts(spark, sf_dir), source_files(spark, sf_dir))
+    o = slices.overview(_facts(spark, sf_dir, "symbol"), source_files(spark, sf_dir))
     return o.select("path", "lines", F.array_join(F.transform("symbols", lambda s: F.concat(s["kind"], F.lit(" "), s["name"])), ",").alias("symbols"))
 
 
