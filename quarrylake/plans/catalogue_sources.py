@@ -134,7 +134,7 @@ SELECT s.path, s.name, s.container, 1 AS changed FROM symbols s JOIN hit ON s.pa
 def symbols_of_changed_lines(spark, sf_dir):
     c = F.col("c_custkey")
     lines = _t(spark, sf_dir, "customer").select(_lines("shop/customer", c, ".ts").alias("file"), (5 + c % 4).alias("line"))
-    return slices.changed_symbols(_facts(spark, sf_dir), lines).select("path", "name", "container", "changed")
+    return slices.changed_symbols(_facts(spark, sf_dir, "symbol"), lines).select("path", "name", "container", "changed")
 
 
 @_query(f"""WITH {_ALL}, files(path, lines) AS (SELECT {_CUSTOMER}, 8 FROM customer UNION ALL SELECT 'types/nation' || n_nationkey || '.ts', 5 FROM nation UNION ALL SELECT 'types/region' || r_regionkey || '.ts', 3 FROM region
