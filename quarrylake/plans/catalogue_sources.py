@@ -68,7 +68,7 @@ def source_symbols(spark, sf_dir):
 @_query(f"""SELECT {_CUSTOMER} AS path, s.symbol, 'Nation' || c_nationkey AS name FROM customer, LATERAL (VALUES ('Customer' || c_custkey), ('home'), ('find'), ('pick' || c_custkey)) s(symbol)
 UNION ALL SELECT 'types/nation' || n_nationkey || '.ts', 'Nation' || n_nationkey, 'Region' || n_regionkey FROM nation""")
 def source_references(spark, sf_dir):
-    f = _facts(spark, sf_dir)
+    f = _facts(spark, sf_dir, "symbol", "ref")
     s = f.where("fact = 'symbol'").select("path", F.col("ord").alias("symbol_ord"), F.col("name").alias("symbol"))
     return f.where("fact = 'ref'").select("path", "symbol_ord", "name").join(s, ["path", "symbol_ord"]).select("path", "symbol", "name")
 
