@@ -84,7 +84,7 @@ def source_calls(spark, sf_dir):
 UNION ALL SELECT 'types/nation' || n_nationkey || '.ts', 'import', 'Region' || n_regionkey, 'Region' || n_regionkey, './region' || n_regionkey FROM nation
 UNION ALL SELECT 'types/index.ts', 'reexport', NULL, NULL, './nation' || n_nationkey FROM nation""")
 def source_imports(spark, sf_dir):
-    return _facts(spark, sf_dir).where("fact in ('import', 'reexport')").select("path", "fact", F.col("name").alias("local"), "imported", "specifier")
+    return _facts(spark, sf_dir, "import", "reexport").where("fact in ('import', 'reexport')").select("path", "fact", F.col("name").alias("local"), "imported", "specifier")
 
 
 @_query(f"""SELECT {_CUSTOMER} AS path, 'import' AS fact, 'types/index.ts' AS target FROM customer
