@@ -75,7 +75,7 @@ def source_references(spark, sf_dir):
 
 @_query(f"""SELECT {_CUSTOMER} AS path, 'home' AS symbol, 'this' AS receiver, 'find' AS name FROM customer UNION ALL SELECT {_CUSTOMER}, 'find', NULL, 'pick' || c_custkey FROM customer""")
 def source_calls(spark, sf_dir):
-    f = _facts(spark, sf_dir)
+    f = _facts(spark, sf_dir, "symbol", "call")
     s = f.where("fact = 'symbol' and kind = 'method'").select("path", F.col("ord").alias("symbol_ord"), F.col("name").alias("symbol"))
     return f.where("fact = 'call'").select("path", "symbol_ord", "receiver", "name").join(s, ["path", "symbol_ord"]).select("path", "symbol", "receiver", "name")
 
