@@ -116,7 +116,7 @@ def types_of_methods(spark, sf_dir):
 
 @_query("""SELECT c_custkey AS query, 'this' AS receiver, 'find' AS name, 'find(x: Nation' || c_nationkey || '): Nation' || c_nationkey AS signature FROM customer""")
 def calls_of_methods(spark, sf_dir):
-    f = _facts(spark, sf_dir)
+    f = _facts(spark, sf_dir, "symbol", "call", "field", "import", "reexport")
     seeds = settle(slices.find_symbols(f, _homes(spark, sf_dir)).select("query", "path", "symbol_ord"))
     return resolve.call_stubs(f, _links(spark, sf_dir, f), seeds).select("query", "receiver", "name", "signature")
 
